@@ -1,0 +1 @@
+"""The rule language is a batch language, so nothing is here: relations are complete before a rule reads them."""
