@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import time
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hornbeam.functions.arithmetic import wrapping
 from hornbeam.language import Decl, Not, Pos, Program
@@ -25,6 +27,11 @@ from .storage import settle
 
 #: Frames that a relation's tuples are spread over before they are written as one.
 PARTS = 12
+#: New tuples that are sent to the other side of their join at most; more are dealt by key.
+SENT = 100_000
+#: Tuples of a component for each shuffle partition of a round, up to the session's number of partitions.
+PER_PARTITION = 100_000
+_PARTITIONS, _ADAPTIVE = "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"
 
 
 class Diverging(RuntimeError):
@@ -45,6 +52,21 @@ def empty(spark: SparkSession, decl: Decl) -> DataFrame:
     return spark.createDataFrame([], ", ".join(f"{c} {kinds[t]}" for c, (_, t) in zip(columns(len(decl.columns)), decl.columns)) or f"{HIDDEN} int")
 
 
+@contextmanager
+def sized(spark: SparkSession, tuples: int) -> Iterator[None]:
+    """As many shuffle partitions as so many tuples need. A round of few tuples is one task then, and planned once."""
+    before = {k: spark.conf.get(k) for k in (_PARTITIONS, _ADAPTIVE)}
+    n = min(int(before[_PARTITIONS]), tuples // PER_PARTITION + 1)
+    spark.conf.set(_PARTITIONS, str(n))
+    if n == 1:
+        spark.conf.set(_ADAPTIVE, "false")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -104,21 +126,25 @@ class Evaluator:
     def _loop(self, component: list[str]) -> None:
         members = set(component)
         occurrences = {n: [(r, k) for r in self.rules[n] for k, (a, _) in enumerate(r.atoms) if a in members] for n in component}
+        fixed = {a for n in component for r in self.rules[n] for a, _ in r.atoms} - members
+        static = {n: settle(self.relation(n)) if n in self.loaded and n not in self.out.relations else self.relation(n) for n in fixed}
         parts: dict[str, list[DataFrame]] = {}
-        unseen: dict[tuple[int, int], list[DataFrame]] = {}
+        sizes: dict[str, int] = dict.fromkeys(component, 0)
+        unseen: dict[tuple[int, int], list[tuple[DataFrame, int]]] = {}
 
-        def add(name: str, new: DataFrame) -> bool:
+        def add(name: str, new: DataFrame) -> None:
             n = new.count()
             self.out.rounds.setdefault(name, []).append(n)
-            if n:
-                parts[name].append(new)
-                if len(parts[name]) > PARTS:
-                    parts[name] = [settle(_union(parts[name]).coalesce(max(1, new.rdd.getNumPartitions())))]
-                for of in occurrences.values():
-                    for r, k in of:
-                        if r.atoms[k][0] == name:
-                            unseen.setdefault((id(r), k), []).append(new)
-            return n > 0
+            if not n:
+                return
+            sizes[name] += n
+            parts[name].append(new)
+            if len(parts[name]) > PARTS:
+                parts[name] = [settle(_union(parts[name]).coalesce(sizes[name] // PER_PARTITION + 1))]
+            for of in occurrences.values():
+                for r, k in of:
+                    if r.atoms[k][0] == name:
+                        unseen.setdefault((id(r), k), []).append((new, n))
 
         def full(name: str) -> DataFrame:
             return _union(parts[name]) if parts[name] else empty(self.spark, self.program.decl(name))
@@ -134,17 +160,19 @@ class Evaluator:
             self._check(rounds, component)
             for name in component:
                 frames = []
-                for r, at in occurrences[name]:
-                    news = unseen.pop((id(r), at), None)
-                    if news:
-                        delta = _union(news)
-                        frames.append(r.frame(self.spark, lambda k, n, at=at, delta=delta: delta if k == at else full(n) if n in members else self.relation(n)))
-                if frames:
-                    found = _union(frames).distinct()
-                    if parts[name]:
-                        known = full(name)
-                        found = found.join(known, [found[c].eqNullSafe(known[c]) if c == HIDDEN else found[c] == known[c] for c in found.columns], "left_anti")
-                    add(name, settle(found))
+                with sized(self.spark, sum(sizes.values())):
+                    for r, at in occurrences[name]:
+                        if news := unseen.pop((id(r), at), None):
+                            delta = _union([df for df, _ in news])
+                            if len(r.atoms) > 1 and sum(n for _, n in news) <= SENT:
+                                delta = F.broadcast(delta)
+                            frames.append(r.frame(self.spark, lambda k, n, at=at, delta=delta: delta if k == at else full(n) if n in members else static[n]))
+                    if frames:
+                        found = _union(frames).distinct()
+                        if parts[name]:
+                            known = full(name)
+                            found = found.join(known, [found[c] == known[c] for c in found.columns], "left_anti")
+                        add(name, settle(found))
         for name in component:
             self.out.relations[name] = full(name)
 
