@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments, declarations, tags; a tag with an unclosed quote ends at the next bracket.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([^>]*)>)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 #: Fixed sets of HTML.
@@ -69,20 +70,14 @@ def parse(page: str) -> Node:
     """The tree; children are nodes and strings with their references still in them."""
     root = Node("html", "", None)
     node, at = root, 0
-    raw_end, lower = None, None
-    for m in iter_tokens(page):
-        start, end, closing, tag, attrs = m
-        if raw_end is not None:
-            if start < raw_end:
-                continue
-            raw_end = None
-        if start > at:
-            node.children.append(page[at:start])
-        at = end
-        if tag is None:
+    while m := _TOKEN.search(page, at):
+        if m.start() > at:
+            node.children.append(page[at : m.start()])
+        at = m.end()
+        if m[2] is None:
             continue
-        tag = tag.lower()
-        if closing:
+        tag, attrs = m[2].lower(), m[3] or m[4] or ""
+        if m[1]:
             up = node
             while up is not None and up.tag != tag:
                 up = None if tag == "p" and up.tag in _SCOPE else up.parent
@@ -115,23 +110,16 @@ def parse(page: str) -> Node:
         if tag in _VOID or attrs.endswith("/") and tag not in _BLOCK:
             continue
         if tag in _RAW:
-            lower = lower or page.lower() if page.isascii() else page
-            found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(lower, end)
-            raw_end = found.start() if found else len(page)
-            at = raw_end
-            node = child
-            continue
+            found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            stop = found.start() if found else len(page)
+            child.children.append(page[at:stop])
+            at = stop
         node = child
     if at < len(page):
         node.children.append(page[at:])
     return root
 
 
-def iter_tokens(page: str) -> Iterator[tuple[int, int, str, str | None, str]]:
-    for m in _TOKEN.finditer(page):
-        yield m.start(), m.end(), m[1] or "", m[2], m[3] or ""
-
-
 def _left_out(node: Node, in_article: bool) -> bool:
     tag = node.tag
     if tag in _DROPPED:

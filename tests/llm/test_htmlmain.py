@@ -25,7 +25,7 @@ def test_white_space_references_and_broken_markup():
     assert htmlmain.main_text(page("<article><p>a\n\t b&#233;&lt;c&gt; &am &amp d</p><p></p><p>e<p>f</article>")) == "a bé<c> &am & d\ne\nf"
     assert htmlmain.main_text("<article><p>cut off <b>he") == "cut off he"
     assert htmlmain.main_text("a < b and <c") == "a < b and <c"
-    assert htmlmain.main_text("<article><p>x<!-- <p>no</p> -->y</p><script>if (a<b) '</p>'</script></article>") == "xy"
+    assert htmlmain.main_text("<article><p>x<!-- <p>no</p> -->y</p><script>if (a<b) '</p>'</script><p>z</p><a href='open>w</a></article>") == "xy\nz\nw"
     assert htmlmain.main_text(page('<article><p>k</p><div style="display: none">h</div><div hidden>h</div><div role="alert">n</div><div class="cookie-notice">c</div></article>')) == "k"
 
 
