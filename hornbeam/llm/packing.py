@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,8 +27,11 @@ VOCABULARY = "word_bpe_49k.json"
 END = 2
 LONGEST = 4096
 #: Chunks a worker remembers at most before it starts anew.
-REMEMBERED = 600_000
-_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+REMEMBERED = 1_200_000
+#: A chunk of Latin-1's printable characters, without what the tokenizer treats as a whole (contractions, special
+#: tokens); and what such a chunk is cut into: runs of letters, single digits, runs of anything else.
+_PLAIN = re.compile("[!-&(-;=-~¡-ÿ]+")
+_PARTS = re.compile("[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^0-9a-zªµºß-öø-ÿ²³¹¼-¾]+")
 
 
 def default_vocabulary() -> str:
@@ -36,12 +40,6 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def _byte_letters() -> dict[int, str]:
-    """The usual printable stand-ins of byte-level vocabularies: printable Latin-1 as it is, the rest from U+0100 on."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
-
-
 class Encoder:
     """Ids of whole texts, equal to the tokenizer's own without special tokens added."""
 
@@ -49,38 +47,38 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.letters = _byte_letters()
+        last = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
+        self.ends = np.zeros(max(last) + 1, bool)
+        self.ends[last] = True
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.starts, self.lengths, self.pool = [], [], []
-        self.arrays = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32))
-
-    def _ids(self, chunk: bytes) -> list[int]:
-        text = chunk.decode("utf-8", "replace")
-        if len(text) > 1 and text[-1] in ".," and _LETTERS.fullmatch(text, len(text) - 2, len(text) - 1):
-            return self._ids(chunk[:-1]) + self._ids(chunk[-1:])  # a letter and a mark are never one token
-        if _LETTERS.fullmatch(text):
-            known = self.index.get(chunk)
-            if known is not None:
-                at = self.starts[known]
-                return self.pool[at : at + self.lengths[known]]
-            return [t.id for t in self.model.tokenize(chunk.decode("latin-1").translate(self.letters))]
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.parts: dict[str, list[int]] = {}
+        self.starts, self.lengths, self.pool = array("q"), array("q"), array("I")
 
     def _learn(self, chunks: set[bytes]) -> None:
+        cut = {}
         for chunk in chunks:
-            ids = self._ids(chunk)
+            text = chunk.decode("utf-8", "replace")
+            cut[chunk] = _PARTS.findall(text.lower()) if _PLAIN.fullmatch(text) else text
+        new = list({p for parts in cut.values() if type(parts) is list for p in parts}.difference(self.parts))
+        for at in range(0, len(new), 1000):  # a part becomes one word of the vocabulary's: its last token says so
+            some = new[at : at + 1000]
+            ids = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
+            stops = (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1).tolist()
+            if len(stops) != len(some):
+                raise ValueError("the vocabulary does not end words as packing expects")
+            self.parts |= {p: ids[a:b] for p, a, b in zip(some, [0, *stops], stops)}
+        for chunk, parts in cut.items():
             self.index[chunk] = len(self.starts)
             self.starts.append(len(self.pool))
-            self.lengths.append(len(ids))
-            self.pool.extend(ids)
-        for k, (values, kind) in enumerate(((self.starts, np.int64), (self.lengths, np.int64), (self.pool, np.uint32))):
-            old = self.arrays[k]
-            grown = np.concatenate([old, np.array(values[len(old) :], kind)])
-            self.arrays = (*self.arrays[:k], grown, *self.arrays[k + 1 :])
+            if type(parts) is list:
+                for p in parts:
+                    self.pool.extend(self.parts[p])
+            else:
+                self.pool.extend(self.tokenizer.encode(parts, add_special_tokens=False).ids)
+            self.lengths.append(len(self.pool) - self.starts[-1])
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """The ids of each text; a null text has none."""
@@ -89,10 +87,14 @@ class Encoder:
         # a special token's own string stays as it is written: lower-casing could make one
         found = [(t if b"<|" in t else t.translate(LOWER)).split() if t else [] for t in texts]
         flat = [c for f in found for c in f]
-        if new := set(flat).difference(self.index):
-            self._learn(new)
-        starts, lengths, pool = self.arrays
-        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        get = self.index.get
+        known = list(map(get, flat))
+        if None in known:
+            self._learn({c for c, k in zip(flat, known) if k is None})
+            known = [get(c) if k is None else k for c, k in zip(flat, known)]
+        at = np.array(known, np.int64)
+        # copies, as an array that numpy looks into can't grow
+        starts, lengths, pool = np.array(self.starts), np.array(self.lengths), np.array(self.pool)
         size = lengths[at]
         ends = np.cumsum(size)
         ids = pool[np.repeat(starts[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
