@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, settle, table
 
 #: Classes, vector length, noise samples of a batch, tokens of a batch, and the step of AdaGrad.
-CLASSES, SIZE, NOISE, BATCH, RATE = 2048, 16, 24, 2048, 0.1
+CLASSES, SIZE, NOISE, BATCH, RATE = 1536, 16, 24, 2048, 0.1
 #: Words whose counts are sent out, at most, and the longest of them.
-SENT, SENT_BYTES = 250_000, 64
+SENT, SENT_BYTES = 150_000, 64
 #: Training texts that give the common start, about, and the longest of them.
 START_DOCS, START_BYTES = 2000, 1 << 15
 END, OTHER = 0, 1
@@ -155,7 +155,7 @@ class LogBilinear:
         """By class one before, by class two before (with the biases), and the log normaliser of both."""
         first = np.clip((self.context * self.position[0]) @ self.target.T, -40, 40)
         second = np.clip((self.context * self.position[1]) @ self.target.T + self.bias, -60, 40)
-        total = np.exp(first.astype(np.float64)) @ np.exp(second.astype(np.float64)).T
+        total = np.exp(first, dtype=np.float64) @ np.exp(second, dtype=np.float64).T
         return first.astype(np.float32), second.astype(np.float32), np.log(total).astype(np.float32)
 
 
@@ -249,7 +249,9 @@ def score(docs: DataFrame, classes: int = CLASSES, sent: int = SENT) -> DataFram
         if n > room:
             break
         least, room = at, room - n
-    frequent = [(bytes(r["word"]), r["n"]) for r in short.filter(level >= least).collect()] if least < math.inf else []
+    chosen = short.filter(level >= least).select("word", "n").toArrow() if least < math.inf else None
+    frequent = list(zip(chosen["word"].to_pylist(), chosen["n"].to_pylist())) if chosen else []
+    del chosen
     vocabulary = Vocabulary(sorted(frequent, key=lambda x: (-x[1], x[0])), ends, total, kinds, classes)
     model = LogBilinear(vocabulary.noise)
     if ends:
