@@ -148,6 +148,12 @@ def score(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     null or other class, or repeated are skipped or counted as they are; without any label every score is 0. Rows
     that repeat a doc_id are scored each.
     """
+    scored = _scored(docs, labels, sample_docs)
+    return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _scored(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """(doc_id, hash, score) for each row of ``docs``; hash: that of its text."""
     spark = docs.sparkSession
     toxic = F.col("toxic").cast("int")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), toxic.alias("toxic")).filter("toxic in (0, 1) and doc_id is not null").filter(~held_out("doc_id"))
@@ -179,10 +185,10 @@ def score(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
             model, curve = models[best], fits[best][1]
         tried.unpersist()
     chosen = spark.sparkContext.broadcast([model])
-    found = texts.select("doc_id", "text").mapInArrow(lambda it: _evidence(chosen, it), "doc_id long, evidence array<double>")
+    keyed = texts.select(F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("key"), "text")
+    found = keyed.mapInArrow(lambda it: _evidence(chosen, it), "key struct<doc_id:long,hash:long>, evidence array<double>")
     z = F.lit(curve[0]) + F.lit(curve[1]) * F.col("evidence")[0] + F.lit(curve[2]) * F.col("evidence")[1]
-    scored = found.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0)))))
-    return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return found.select("key.doc_id", "key.hash", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,6 +196,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents predicted toxic; columns stay as they are. A doc_id goes if any of its rows does."""
-    bad = score(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """``docs`` without the rows predicted toxic; columns stay as they are. A row is told by its doc_id and text."""
+    bad = _scored(docs, labels).filter("score >= 0.5").select(F.col("doc_id").alias("_bad"), F.col("hash").alias("_hash")).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")), "left_anti")

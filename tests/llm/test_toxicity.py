@@ -41,3 +41,10 @@ def test_odd_inputs(spark, odd, none):
         assert len(got) == docs.count() and all(0 <= x["score"] <= 1 for x in got)
     assert toxicity.drop_toxic(odd, labels.limit(0)).count() == odd.count()
     assert toxicity.drop_toxic(odd, labels).columns == odd.columns
+
+
+def test_rows_without_a_number_are_decided_on_each(spark):
+    docs, labels, rows = made(spark, 400)
+    more = [(None, "vilebird dungheap snotface " * 5), (None, "the plain words of another text")]
+    kept = toxicity.drop_toxic(docs.union(spark.createDataFrame(more, docs.schema)), labels)
+    assert [x["text"] for x in kept.filter("doc_id is null").collect()] == [more[1][1]]
