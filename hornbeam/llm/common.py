@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,18 +13,57 @@ from pyspark.sql import functions as F
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+#: Bytes of texts that a Python worker treats together, about; a longer text is alone.
+GROUP_BYTES = 4 << 20
+
+
+def groups(texts: list, most: int, size: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of ``texts`` (bytes, strings or None) of at most ``most`` of them and about ``size`` in all."""
+    begin = held = 0
+    for k, text in enumerate(texts):
+        n = len(text or "")
+        if k > begin and (k - begin >= most or held + n > size):
+            yield begin, k
+            begin, held = k, 0
+        held += n
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The cluster's shared folder of ``spark.checkpoint.dir``. Where it is unset a local master gets a temporary one; a cluster is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hornbeam-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if given is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="hornbeam-"))
     return sc.getCheckpointDir()
 
 
+def free(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores more as it takes to be none of ``taken`` (case aside)."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table in the shared folder and read from there: columns that a reader doesn't need stay on disk."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage by a reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
