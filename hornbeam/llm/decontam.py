@@ -5,8 +5,9 @@ in the documents alike. With k-grams of K words and windows of SPAN - K + 1 of t
 has a kept hash in common; the hits are joined on it and extended word by word as far as both sides agree, so nothing
 is reported on a hash alone.
 
-The benchmark is the side that is sent out, in blocks of bounded size; documents are never shuffled. A larger
-benchmark means more passes over them, one for each block.
+The benchmark is the side that is sent out, in blocks of bounded size, one at a time; documents are never shuffled.
+A larger benchmark means more passes over them: after each block but the last what is found so far is written to the
+shared folder with the documents, and the block is given up before the next one is sent.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free, settle, table
 
 SPAN = 10
 K = 5
@@ -153,6 +154,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES,
         last = k == blocks - 1
         kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
         out = out.mapInArrow(lambda it, block=block, last=last: _pass(it, block, text, last), f"{kinds}, `{name}` {_LAST if last else _STATE}")
+        if not last:
+            out = settle(out)
+            block.destroy()
     return out
 
 
@@ -164,9 +168,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that have a word of a benchmark window; columns stay as they are."""
-    name = "_found"
-    while name in docs.columns:
-        name += "_"
+    (name,) = free(docs.columns, "found")
     return mark(docs, benchmark, name=name).filter(~F.col(f"{name}.contaminated")).drop(name)
 
 
