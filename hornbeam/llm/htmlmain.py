@@ -1,8 +1,8 @@
 """Main text of web pages by tree scoring.
 
 A page is parsed into a tree (void elements, implied ends, raw-text elements and unclosed tags as browsers take them,
-nearly). Paragraphs pass points for their length and commas to their parent in full, to the grandparent in half, to
-further ancestors in smaller shares; a container's points are discounted by its link density. The best container is
+nearly). Paragraphs pass points for their length and commas to their parent in full, and each further ancestor gets half
+of what the one below it got; a container's points are discounted by its link density. The best container is
 kept, widened to the article it is part of, with siblings that score well or read as prose. Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts and reader comments are left out before and after, by element, role or name.
 """
@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import groups, table
 
-#: Comments, declarations, tags; a tag with an unclosed quote ends at the next bracket.
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([^>]*)>)", re.S)
+#: Where markup begins: a comment, a declaration, a tag.
+_MARKUP = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_QUOTE = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 #: Fixed sets of HTML.
@@ -66,57 +67,104 @@ class Node:
         self.out = False
 
 
+class _Scanner:
+    """Where things end in a page. What is not found once is not looked for again, so scanning takes linear time."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        found = -1 if what in self.missing else self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The bracket that ends the tag whose attributes begin at ``at``; with an unclosed quote the next one; -1 without any."""
+        first = self.find(">", at)
+        while first >= 0 and (m := _QUOTE.search(self.page, at)):
+            if m[0] == ">":
+                return m.start()
+            closed = self.find(m[0], m.end())
+            if closed < 0:
+                return first
+            at = closed + 1
+        return first
+
+
 def parse(page: str) -> Node:
     """The tree; children are nodes and strings with their references still in them."""
     root = Node("html", "", None)
-    node, at = root, 0
-    while m := _TOKEN.search(page, at):
+    path, at, look = [root], 0, 0
+    open_: dict[str, list[int]] = {}  # depths of the open elements by tag
+    scopes = [0]  # depths of those that end what a start tag may end
+    scan = _Scanner(page)
+
+    def back(depth: int) -> None:
+        while len(path) > max(depth, 1):
+            tag = path.pop().tag
+            open_[tag].pop()
+            if scopes[-1] == len(path):
+                scopes.pop()
+
+    def deepest(tags) -> int:
+        return max((open_[t][-1] for t in tags if open_.get(t)), default=-1)
+
+    while m := _MARKUP.search(page, look):
+        if m[2] is None:
+            end = scan.find("-->", m.end()) + 3 if m[0] == "<!--" else scan.find(">", m.end()) + 1
+            stop = end if end > 2 or m[0] != "<!--" and end else len(page)
+            attrs = ""
+        else:
+            stop = scan.tag_end(m.end()) + 1
+            if not stop:
+                if ">" in scan.missing:
+                    break  # no tag ends any more
+                look = m.end()
+                continue
+            attrs = page[m.end() : stop - 1]
         if m.start() > at:
-            node.children.append(page[at : m.start()])
-        at = m.end()
+            path[-1].children.append(page[at : m.start()])
+        at = look = stop
         if m[2] is None:
             continue
-        tag, attrs = m[2].lower(), m[3] or m[4] or ""
+        tag = m[2].lower()
         if m[1]:
-            up = node
-            while up is not None and up.tag != tag:
-                up = None if tag == "p" and up.tag in _SCOPE else up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            found = deepest([tag])
+            if found > 0 and (tag != "p" or found > scopes[-1]):
+                back(found)
             continue
         if tag in ("html", "body"):
             if tag == "html":
                 root.attrs = root.attrs or attrs
                 continue
-            while node.parent is not None:
-                node = node.parent
-        ends = _ENDS.get(tag)
-        if ends:
-            up = node
-            while up is not None and up.tag not in ends[1]:
-                if up.tag in ends[0]:
-                    node = up.parent or root
-                    break
-                up = up.parent
+            back(1)
+        if ends := _ENDS.get(tag):
+            found = deepest(ends[0])
+            if found > deepest(ends[1]):
+                back(found)
         if tag in _CLOSES_P:
-            up = node
-            while up is not None and up.tag not in _SCOPE:
-                if up.tag == "p" or tag in _HEADINGS and up.tag in _HEADINGS:
-                    node = up.parent or root
-                    break
-                up = up.parent
-        child = Node(tag, attrs, node)
-        node.children.append(child)
+            found = deepest(["p", *_HEADINGS] if tag in _HEADINGS else ["p"])
+            if found > scopes[-1]:
+                back(found)
+        child = Node(tag, attrs, path[-1])
+        path[-1].children.append(child)
         if tag in _VOID or attrs.endswith("/") and tag not in _BLOCK:
             continue
         if tag in _RAW:
-            found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            closing = f"</{tag}"
+            found = None if closing in scan.missing else re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            if not found:
+                scan.missing.add(closing)
             stop = found.start() if found else len(page)
             child.children.append(page[at:stop])
-            at = stop
-        node = child
+            at = look = stop
+        open_.setdefault(tag, []).append(len(path))
+        if tag in _SCOPE:
+            scopes.append(len(path))
+        path.append(child)
     if at < len(page):
-        node.children.append(page[at:])
+        path[-1].children.append(page[at:])
     return root
 
 
@@ -164,20 +212,23 @@ def _measure(root: Node) -> list[Node]:
                     node.own += c.own
         if node.tag == "a":
             node.linked = node.length
-    scored: dict[int, Node] = {}
+    gained: dict[int, float] = {}
     for node, _ in order:
         if node.tag in _BLOCK and node.tag not in ("html", "body") and node.own and node.parent is not None:
             prose = node.own >= _LINE and node.tag not in _HEADINGS
             density = node.linked / node.length if node.length else 0.0
             points = ((1.0 + node.commas if prose else 0.0) + min(node.own / 100, _MOST_LENGTH)) * (1 - density)
-            up, level = (node if node.tag in ("div", "section", "article", "main", "td") else node.parent), 0
-            while up is not None:
-                up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-                scored[id(up)] = up
-                up, level = up.parent, level + 1
-    for node in scored.values():
-        node.score *= 1 - (node.linked / node.length if node.length else 0.0)
-    return list(scored.values())
+            to = node if node.tag in ("div", "section", "article", "main", "td") else node.parent
+            gained[id(to)] = gained.get(id(to), 0.0) + points
+    scored = []
+    for node, _ in reversed(order):  # children before their parents: each passes half of what it has got on
+        if (got := gained.get(id(node))) is None:
+            continue
+        if node.parent is not None:
+            gained[id(node.parent)] = gained.get(id(node.parent), 0.0) + got / 2
+        node.score = (node.score + got) * (1 - (node.linked / node.length if node.length else 0.0))
+        scored.append(node)
+    return scored[::-1]
 
 
 def _kept(root: Node) -> list[Node]:
@@ -205,6 +256,12 @@ def _kept(root: Node) -> list[Node]:
     return out
 
 
+def _within(node: Node | None) -> bool:
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
 def _blocks(nodes: list[Node]) -> list[str]:
     """Texts of the blocks in page order, white space folded."""
     out: list[str] = []
@@ -218,6 +275,7 @@ def _blocks(nodes: list[Node]) -> list[str]:
             parts.clear()
 
     stack: list = list(reversed(nodes))
+    article = any(_within(n) for n in nodes)
     while stack:
         item = stack.pop()
         if item is None:
@@ -227,9 +285,9 @@ def _blocks(nodes: list[Node]) -> list[str]:
         elif item.tag == "br":
             parts.append(" ")
         elif not item.out:
-            links = item.tag in ("ul", "ol", "dl", "table") and item.length and item.linked / item.length > 0.6
+            links = not article and item.tag in ("ul", "ol", "dl", "table") and item.length and item.linked / item.length > 0.9
             if links and sum(isinstance(c, Node) for c in item.children) > 1:
-                continue  # a menu in all but name
+                continue  # a menu in all but name, on a page that doesn't say where its article is
             if item.tag in _BLOCK:
                 close()
                 stack.append(None)
@@ -244,9 +302,9 @@ def main_text(page: str | None) -> str:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            texts = [main_text(p) for p in part.column(2).to_pylist()]
+        pages = batch.column(2).to_pylist()
+        for at, end in groups(pages, 512):
+            part, texts = batch.slice(at, end - at), [main_text(p) for p in pages[at:end]]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 

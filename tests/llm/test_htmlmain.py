@@ -1,3 +1,5 @@
+import time
+
 from hornbeam.llm import htmlmain
 
 LONG = "A sentence of some length, with commas, that reads like the prose of an article and goes on for a while."
@@ -29,9 +31,19 @@ def test_white_space_references_and_broken_markup():
     assert htmlmain.main_text(page('<article><p>k</p><div style="display: none">h</div><div hidden>h</div><div role="alert">n</div><div class="cookie-notice">c</div></article>')) == "k"
 
 
-def test_link_lists_go_and_text_lists_stay():
-    links = "".join(f'<li><a href="/{k}">Related story number {k}</a></li>' for k in range(4))
-    assert htmlmain.main_text(page(f"<article><p>{LONG}</p><ul>{links}</ul><ol><li>Step one</li><li>Step <a href='/'>two</a> of it</li></ol></article>")) == f"{LONG}\nStep one\nStep two of it"
+def test_named_link_lists_go_and_the_articles_own_stay():
+    links = lambda what: "".join(f'<li><a href="/{k}">{what} number {k}</a></li>' for k in range(4))
+    sources = "\n".join(f"Source number {k}" for k in range(4))
+    html = page(f"<article><p>{LONG}</p><ul class='related'>{links('Story')}</ul><ol><li>Step one</li><li>Step <a href='/'>two</a> of it</li></ol><ul>{links('Source')}</ul></article>")
+    assert htmlmain.main_text(html) == f"{LONG}\nStep one\nStep two of it\n{sources}"
+    assert htmlmain.main_text(page(f"<div><p>{LONG}</p><p>{LONG} Again.</p><ul>{links('Page')}</ul></div>")) == f"{LONG}\n{LONG} Again."
+
+
+def test_broken_pages_take_linear_time():
+    began = time.time()
+    for part in ("<div>x", '<a b="', "<a ", "</b>", "<p><span>", "<hr>", "<span><hr>", "<!--", "<script>", "<li><span>", "<table><td>", "<h1>", "<a '>"):
+        htmlmain.main_text(page(f"<p>{LONG}</p>" + part * 100_000))
+    assert time.time() - began < 90
 
 
 def test_pages(spark):
