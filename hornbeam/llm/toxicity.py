@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, settle, table
+from .common import LOWER, free, settle, table
 
-#: Bound of the sample that the classifier is fitted on: about so many labelled texts of each class, none longer
-#: than SAMPLE_BYTES. Half of them are counted, half fit the curve.
+#: Bound of the sample that the classifier is fitted on: about so many labelled documents of each class, one text of
+#: each, none longer than SAMPLE_BYTES. Half of them are counted, half fit the curve.
 SAMPLE_DOCS = 4000
 SAMPLE_BYTES = 1 << 16
 #: In how many texts of the sample an expression must be to have counts by class; rarer ones have only their shared
@@ -144,8 +144,8 @@ def _evidence(models, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def score(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs``.
 
-    Null and empty texts have no evidence: their score is the curve's at zero. Labels without a document, with a
-    null or other class, or repeated are skipped or counted as they are; without any label every score is 0. Rows
+    Null and empty texts have no evidence: their score is the curve's at zero. Labels without a document or with a
+    null or other class are skipped; repeated ones count once, and not at all if they differ. Without any label every score is 0. Rows
     that repeat a doc_id are scored each.
     """
     scored = _scored(docs, labels, sample_docs)
@@ -156,14 +156,16 @@ def _scored(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS)
     """(doc_id, hash, score) for each row of ``docs``; hash: that of its text."""
     spark = docs.sparkSession
     toxic = F.col("toxic").cast("int")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), toxic.alias("toxic")).filter("toxic in (0, 1) and doc_id is not null").filter(~held_out("doc_id"))
+    given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), toxic.alias("toxic")).filter("toxic in (0, 1) and doc_id is not null").filter(~held_out("doc_id"))
+    known = given.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other").select("doc_id", "toxic")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20))
     share = F.when(F.col("toxic") == 1, sample_docs / max(1, sizes.get(1, 0))).otherwise(sample_docs / max(1, sizes.get(0, 0)))
     sample = known.filter(draw < share * (1 << 20)).select("toxic", F.col("doc_id").alias("_sampled"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # the sample is bounded by sample_docs rows a class
-    train = texts.filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(sample), F.col("doc_id") == F.col("_sampled"))
+    # the sample is drawn from distinct documents, about sample_docs of a class; of rows that repeat one the least text is taken
+    met = texts.filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(sample), F.col("doc_id") == F.col("_sampled"))
+    train = settle(met.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")))
     counted = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0
     grams = train.filter(counted).select("toxic", "text").mapInArrow(_count, "a binary, b binary, toxic long, plain long")
     grams = settle(grams.groupBy("a", "b").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")))
@@ -197,5 +199,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows predicted toxic; columns stay as they are. A row is told by its doc_id and text."""
-    bad = _scored(docs, labels).filter("score >= 0.5").select(F.col("doc_id").alias("_bad"), F.col("hash").alias("_hash")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")), "left_anti")
+    bad_id, bad_hash = free(docs.columns, "bad_id", "bad_hash")
+    bad = _scored(docs, labels).filter("score >= 0.5").select(F.col("doc_id").alias(bad_id), F.col("hash").alias(bad_hash)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(bad_hash)), "left_anti")

@@ -48,3 +48,13 @@ def test_rows_without_a_number_are_decided_on_each(spark):
     more = [(None, "vilebird dungheap snotface " * 5), (None, "the plain words of another text")]
     kept = toxicity.drop_toxic(docs.union(spark.createDataFrame(more, docs.schema)), labels)
     assert [x["text"] for x in kept.filter("doc_id is null").collect()] == [more[1][1]]
+
+
+def test_repeated_labels_and_documents_count_once(spark):
+    docs, labels, rows = made(spark, 300)
+    once = sorted(map(tuple, toxicity.score(docs, labels).collect()))
+    one = rows[1][0] if zlib.crc32(str(rows[1][0]).encode()) % 5 else rows[2][0]
+    again = toxicity.score(docs, labels.union(labels.filter(f"doc_id = {one}")).union(labels.filter(f"doc_id = {one}")))
+    assert sorted(map(tuple, again.collect())) == once
+    more = toxicity.score(docs.union(docs.filter(f"doc_id = {one}")), labels).distinct()
+    assert sorted(map(tuple, more.collect())) == once
