@@ -2,7 +2,8 @@
 
 Each document's token ids, ended by one further id, are cut into pieces whose lengths are the powers of two in the
 binary form of its length (full sequences first). A piece is a sequence of its own: nothing crosses documents, nothing
-is padded, and pieces of one length share a bucket, from which batches of equal shape are drawn.
+is padded, and pieces of one length share a bucket: they lie together within each partition, numbered in turn, and
+``write_buckets`` writes a folder for each length, so that batches of equal shape are drawn without looking.
 
 Ids are those of a public BPE tokenizer. White space never reaches its vocabulary, so the ids of a text are those of
 its chunks in turn; each worker remembers chunks it has seen and encodes a new one only once.
@@ -12,7 +13,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, table
+from .common import GROUP_BYTES, LOWER, groups, table
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
 LONGEST = 4096
-#: Chunks a worker remembers at most before it starts anew.
-REMEMBERED = 1_200_000
+#: Chunks, bytes of chunks, and ids that a worker remembers, about, before it starts anew.
+REMEMBERED, REMEMBERED_BYTES, REMEMBERED_IDS = 1_200_000, 64 << 20, 16 << 20
 #: A chunk of Latin-1's printable characters, without what the tokenizer treats as a whole (contractions, special
 #: tokens); and what such a chunk is cut into: runs of letters, single digits, runs of anything else.
 _PLAIN = re.compile("[!-&(-;=-~¡-ÿ]+")
@@ -55,7 +55,7 @@ class Encoder:
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
         self.parts: dict[str, list[int]] = {}
-        self.starts, self.lengths, self.pool = array("q"), array("q"), array("I")
+        self.starts, self.lengths, self.pool, self.bytes = Growing(np.int64), Growing(np.int64), Growing(np.uint32), 0
 
     def _learn(self, chunks: set[bytes]) -> None:
         cut = {}
@@ -70,19 +70,23 @@ class Encoder:
             if len(stops) != len(some):
                 raise ValueError("the vocabulary does not end words as packing expects")
             self.parts |= {p: ids[a:b] for p, a, b in zip(some, [0, *stops], stops)}
-        for chunk, parts in cut.items():
-            self.index[chunk] = len(self.starts)
-            self.starts.append(len(self.pool))
+        starts, sizes, pool, first = [], [], [], self.pool.size
+        for number, (chunk, parts) in enumerate(cut.items(), self.starts.size):
+            self.index[chunk] = number
+            self.bytes += len(chunk)
+            starts.append(first + len(pool))
             if type(parts) is list:
                 for p in parts:
-                    self.pool.extend(self.parts[p])
+                    pool += self.parts[p]
             else:
-                self.pool.extend(self.tokenizer.encode(parts, add_special_tokens=False).ids)
-            self.lengths.append(len(self.pool) - self.starts[-1])
+                pool += self.tokenizer.encode(parts, add_special_tokens=False).ids
+            sizes.append(first + len(pool) - starts[-1])
+        for of, new in ((self.starts, starts), (self.lengths, sizes), (self.pool, pool)):
+            of.extend(new)
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """The ids of each text; a null text has none."""
-        if len(self.index) > REMEMBERED:
+        if len(self.index) > REMEMBERED or self.bytes > REMEMBERED_BYTES or self.pool.size > REMEMBERED_IDS:
             self.forget()
         # a special token's own string stays as it is written: lower-casing could make one
         found = [(t if b"<|" in t else t.translate(LOWER)).split() if t else [] for t in texts]
@@ -93,15 +97,28 @@ class Encoder:
             self._learn({c for c, k in zip(flat, known) if k is None})
             known = [get(c) if k is None else k for c, k in zip(flat, known)]
         at = np.array(known, np.int64)
-        # copies, as an array that numpy looks into can't grow
-        starts, lengths, pool = np.array(self.starts), np.array(self.lengths), np.array(self.pool)
-        size = lengths[at]
+        starts, pool = self.starts.values, self.pool.values
+        size = self.lengths.values[at]
         ends = np.cumsum(size)
         ids = pool[np.repeat(starts[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
         cuts = np.append(0, ends)[np.cumsum([0, *map(len, found)])]
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
+class Growing:
+    """A numpy array that grows at its end, by doubling."""
+
+    def __init__(self, kind):
+        self.values, self.size = np.empty(1024, kind), 0
+
+    def extend(self, more) -> None:
+        end = self.size + len(more)
+        if end > len(self.values):
+            self.values = np.concatenate([self.values, np.empty(max(end, 2 * len(self.values)) - len(self.values), self.values.dtype)])
+        self.values[self.size : end] = more
+        self.size = end
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -116,9 +133,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, longest: int, keep: bo
     code = encoder(path)
     for batch in batches:
         docs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-        for at in range(0, len(docs), 128):
+        for at, end in groups(texts, 128, GROUP_BYTES):
             rows: list[tuple] = []
-            for doc, ids in zip(docs[at : at + 128], code.encode(texts[at : at + 128])):
+            for doc, ids in zip(docs[at:end], code.encode(texts[at:end])):
                 ids = np.append(ids, np.uint32(END)).astype("<u4")
                 start = 0
                 for n in lengths(len(ids), longest):
@@ -137,13 +154,19 @@ def pack(docs: DataFrame, path: str | None = None, longest: int = LONGEST, keep_
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids], sequence_id, offset, bucket), one row per piece and sequence.
 
     A null or empty text is one piece of one id. Rows that repeat a doc_id are packed each. ``bucket`` is the binary
-    logarithm of the length; sequence_id is unique over all buckets, and stable as long as the input's partitions are.
+    logarithm of the length; within a partition the longest come first and pieces of one length are consecutive.
+    sequence_id is unique over all buckets, and stable as long as the input's partitions are.
     """
     path = path or default_vocabulary()
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = texts.mapInArrow(lambda it: _pieces(it, path, longest, keep_ids), schema)
-    return cut.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.log2("length").cast("int").alias("bucket"))
+    return cut.sortWithinPartitions(F.desc("length")).select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.log2("length").cast("int").alias("bucket"))
+
+
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """``pack``'s rows as Parquet below ``path``, a folder ``bucket=k`` for the pieces of 2 ** k tokens. Nothing is exchanged."""
+    packed.write.partitionBy("bucket").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

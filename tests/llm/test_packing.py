@@ -44,3 +44,22 @@ def test_lengths():
     for n in (1, 2, 4095, 4096, 4097, 3 * 4096 + 5):
         got = packing.lengths(n)
         assert sum(got) == n and all(g & g - 1 == 0 for g in got) and len(got) == n // 4096 + (n % 4096).bit_count()
+
+
+def test_buckets(spark, odd, tmp_path):
+    packed = packing.pack(odd)
+    for part in packed.select("bucket", "sequence_id").rdd.glom().collect():
+        assert [r["bucket"] for r in part] == sorted((r["bucket"] for r in part), reverse=True)
+    packing.write_buckets(packed, str(tmp_path / "packed"))
+    folders = {f.name for f in (tmp_path / "packed").iterdir() if f.is_dir()}
+    assert folders == {f"bucket={r['bucket']}" for r in packed.collect()}
+    assert spark.read.parquet(str(tmp_path / "packed")).count() == packed.count()
+
+
+def test_a_worker_forgets(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 50)
+    code = packing.Encoder(PATH)
+    for k in range(40):
+        text = " ".join(f"word{k}x{j}" for j in range(9))
+        assert code.encode([text.encode(), None])[0].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert code.bytes < 500
