@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, settle, table
+from .common import LOWER, groups, settle, table
 
 #: Classes, vector length, noise samples of a batch, tokens of a batch, and the step of AdaGrad.
-CLASSES, SIZE, NOISE, BATCH, RATE = 1536, 16, 24, 2048, 0.1
+CLASSES, SIZE, NOISE, BATCH, RATE = 2048, 16, 24, 2048, 0.1
 #: Words whose counts are sent out, at most, and the longest of them.
-SENT, SENT_BYTES = 150_000, 64
-#: Training texts that give the common start, about, and the longest of them.
-START_DOCS, START_BYTES = 2000, 1 << 15
+SENT, SENT_BYTES = 250_000, 64
+#: Training texts that give the common start, about, and tokens in them, about: rows are drawn with a share that keeps to both.
+START_DOCS, START_TOKENS = 2000, 2_000_000
 END, OTHER = 0, 1
 SMOOTH = 0.1
 
@@ -173,8 +173,8 @@ def _train(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
     model, seen, draw = LogBilinear(vocabulary.noise).load(start), 0, np.random.default_rng(11)
     for batch in batches:
         texts = batch.column(0).cast(pa.binary()).to_pylist()
-        for at in range(0, len(texts), 512):
-            ranks, starts, _ = vocabulary.ranks(texts[at : at + 512])
+        for at, end in groups(texts, 512):
+            ranks, starts, _ = vocabulary.ranks(texts[at:end])
             classes = vocabulary.classes[ranks]
             one, two = contexts(classes, starts)
             mixed = draw.permutation(len(classes))
@@ -200,8 +200,8 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
     uid, missing = TaskContext.get().partitionId() << 33, len(vocabulary.rank)
     for batch in batches:
         docs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-        for at in range(0, len(docs), 256):
-            ranks, starts, found = vocabulary.ranks(texts[at : at + 256])
+        for at, end in groups(texts, 256):
+            ranks, starts, found = vocabulary.ranks(texts[at:end])
             classes = vocabulary.classes[ranks]
             one, two = contexts(classes, starts)
             log = (first[one, classes].astype(np.float64) + second[two, classes] - total[one, two]) / math.log(10)
@@ -222,7 +222,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
             m = len(words_)
             none = [None] * m
             columns = [
-                [b"\n%d" % u for u in own] + words_, own + uids, [0] * n + times, docs[at : at + 256] + none, sizes + none, sums[2] + none, sums[0] + none, sums[1] + none
+                [b"\n%d" % u for u in own] + words_, own + uids, [0] * n + times, docs[at:end] + none, sizes + none, sums[2] + none, sums[0] + none, sums[1] + none
             ]
             if not vocabulary.ends:
                 columns[5] = [0] * n + none
@@ -255,9 +255,9 @@ def score(docs: DataFrame, classes: int = CLASSES, sent: int = SENT) -> DataFram
     vocabulary = Vocabulary(sorted(frequent, key=lambda x: (-x[1], x[0])), ends, total, kinds, classes)
     model = LogBilinear(vocabulary.noise)
     if ends:
-        share = START_DOCS / ends
-        start = train.filter(F.octet_length("text") <= START_BYTES).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)).select("text").collect()
-        ranks, starts, _ = vocabulary.ranks([r["text"].encode() for r in start])
+        # rows, not texts, are drawn: a text that many rows repeat comes with its share of them
+        start = train.filter(F.rand(5) < min(START_DOCS / ends, START_TOKENS / total)).select("text").collect()
+        ranks, starts, _ = vocabulary.ranks([(r["text"] or "").encode() for r in start])
         if len(ranks):
             named, draw = vocabulary.classes[ranks], np.random.default_rng(5)
             one, two = contexts(named, starts)
