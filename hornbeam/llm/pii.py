@@ -30,13 +30,13 @@ BASE = {
 }
 WIDE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\s{0,2}[\[(]\s?(?:at|AT)\s?[\])]\s{0,2}[A-Za-z0-9-]++(?:(?:\.|\s{0,2}[\[(]\s?(?:dot|DOT)\s?[\])]\s{0,2})[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "ip": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,37}::)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4})(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])[0-9]{12,19}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9_-])(?:(?:sk|pk|ghp|xoxb)[-_][A-Za-z0-9_-]{16,200}|AKIA[0-9A-Z]{16}|[0-9a-f]{32,128})(?![A-Za-z0-9_-])",
+    "secret": r"(?<![A-Za-z0-9_-])(?:(?:sk|pk|ghp|xoxb)[-_][A-Za-z0-9_-]{16,}+|AKIA[0-9A-Z]{16}|[0-9a-f]{32,}+)(?![A-Za-z0-9_-])",
 }
 #: A text without this has no match of the wide pattern.
-_NEEDS = {"email": r"[\[(]\s?(?:at|AT)\s?[\])]", "ip": ":[0-9A-Fa-f]{1,4}:", "card": "[0-9]{12}", "phone": r"[0-9]{3}[\x20.-][0-9]{4}", "secret": "[0-9a-f]{32}|[-_][A-Za-z0-9_-]{16}|AKIA"}
+_NEEDS = {"email": r"[\[(]\s?(?:at|AT)\s?[\])]", "ip": ":[0-9A-Fa-f]{0,4}:", "card": "[0-9]{12}", "phone": r"[0-9]{3}[\x20.-][0-9]{4}", "secret": "[0-9a-f]{32}|[-_][A-Za-z0-9_-]{16}|AKIA"}
 #: Gazetteers: top-level domains, card networks' first digits, key prefixes.
 DOMAINS = "com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|nl|eu|us|ca|jp|cn|in|br|au|ch|at"
 NETWORKS = "^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)"
@@ -47,17 +47,29 @@ _AGAINST = "version|isbn|order|invoice|section|chapter|page|sha|md5|commit|check
 _CONTEXT = 40
 
 
+def _scan(items: str, start: str, kind: str, state: str, item: str, chunk: int = 128) -> str:
+    """SQL of the array of ``item`` of each x of an array, i.st being what ``state`` has made of those before it.
+
+    An array that grows is copied at each step, so it grows by chunks and the chunks are joined at the end: long arrays
+    take linear time. kind: the type of an item.
+    """
+    inner = f"aggregate(c, named_struct('st', a.st, 'out', cast(array() as array<{kind}>)), (i, x) -> named_struct('st', {state}, 'out', concat(i.out, array({item}))))"
+    step = f"element_at(transform(array({inner}), r -> named_struct('st', r.st, 'out', concat(a.out, array(r.out)))), 1)"
+    chunks = f"transform(sequence(1, greatest(size(z), 1), {chunk}), k -> slice(z, k, {chunk}))"
+    whole = f"aggregate({chunks}, named_struct('st', {start}, 'out', cast(array() as array<array<{kind}>>)), (a, c) -> {step}, a -> flatten(a.out))"
+    return f"element_at(transform(array({items}), z -> {whole}), 1)"
+
+
 def _found(text: str, pattern: str, needs: str) -> str:
     """SQL of the array of (start, end, hit, before) of a pattern's matches; before: up to 40 characters in lower case."""
     p = "r'" + pattern.replace("'", r"\x27") + "'"
     n = "r'" + needs.replace("'", r"\x27") + "'"
-    zipped = f"arrays_zip(split({text}, {p}, -1) as piece, regexp_extract_all({text}, {p}, 0) as hit)"
-    item = "named_struct('start', a.at + length(x.piece), 'end', a.at + length(x.piece) + length(x.hit), 'hit', x.hit, 'before', lower(right(x.piece, %d)))" % _CONTEXT
-    empty = "cast(array() as array<struct<start:int,end:int,hit:string,before:string>>)"
-    step = f"named_struct('at', a.at + length(x.piece) + length(x.hit), 'out', concat(a.out, array({item})))"
-    zipped = zipped.replace(" as piece", "").replace(" as hit", "")
-    filtered = f"filter(transform({zipped}, z -> named_struct('piece', z.`0`, 'hit', z.`1`)), z -> z.hit is not null)"
-    return f"case when {text} rlike {n} then aggregate({filtered}, named_struct('at', 0, 'out', {empty}), (a, x) -> {step}, a -> a.out) else {empty} end"
+    zipped = f"arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0))"
+    pieces = f"filter(transform({zipped}, z -> named_struct('piece', z.`0`, 'hit', z.`1`)), z -> z.hit is not null)"
+    kind = "struct<start:int,end:int,hit:string,before:string>"
+    item = "named_struct('start', i.st + length(x.piece), 'end', i.st + length(x.piece) + length(x.hit), 'hit', x.hit, 'before', lower(right(x.piece, %d)))" % _CONTEXT
+    scan = _scan(pieces, "0", kind, "i.st + length(x.piece) + length(x.hit)", item)
+    return f"case when {text} rlike {n} then {scan} else cast(array() as array<{kind}>) end"
 
 
 def _luhn(hit: str) -> str:
@@ -77,7 +89,7 @@ _VALID = {
 #: The regex and gazetteer labelers: 1 for, 0 against, -1 for no vote.
 _FORM = {
     "email": "if(s.hit rlike '[A-Za-z]', 1, 0)",
-    "ip": "if(s.hit rlike '[1-9A-Fa-f]', 1, 0)",
+    "ip": "if(s.hit rlike '[0-9]' and s.hit rlike '[1-9A-Fa-f].*:.*[0-9A-Fa-f]', 1, 0)",
     "card": f"if({_luhn('s.hit')}, 1, 0)",
     "phone": r"if(regexp_replace(s.hit, '[^0-9]', '') rlike '^[2-9][0-9]{2}[0-9]{7}$', 1, 0)",
     "secret": "if(s.hit rlike '[0-9]' and s.hit rlike '[A-Za-z]', 1, 0)",
@@ -107,9 +119,16 @@ def spans(docs: DataFrame) -> DataFrame:
         for r, k in enumerate(KINDS)
     )
     met = found.select("doc_id", F.expr(f"array_sort(concat({base}))").alias("base"), F.expr(f"array_sort(concat({wide}))").alias("wide"))
-    # a candidate over a base span, or over one that begins before it or is of an earlier kind, is no news
-    clear = "filter(wide, w -> not exists(base, b -> b.start < w.end and w.start < b.end) and not exists(wide, o -> o.start < w.end and w.start < o.end and (o.start < w.start or o.start = w.start and o.rank < w.rank)))"
-    return met.select("doc_id", "base", F.expr(clear).alias("wide"))
+    # a candidate over a base span, or over one that begins before it or is of an earlier kind, is no news: a sweep forward
+    # with the furthest ends so far, and one back with the next base span's start
+    events = "array_sort(concat(transform(base, b -> named_struct('start', b.start, 'side', 0, 'rank', b.rank, 'end', b.end, 'at', -1)), transform(wide, (w, k) -> named_struct('start', w.start, 'side', 1, 'rank', w.rank, 'end', w.end, 'at', k))))"
+    seen = _scan(
+        events, "named_struct('b', 0, 'w', 0)", "struct<start:int,end:int,at:int,bad:boolean>", "named_struct('b', if(x.at < 0, greatest(i.st.b, x.end), i.st.b), 'w', if(x.at < 0, i.st.w, greatest(i.st.w, x.end)))",
+        "named_struct('start', x.start, 'end', x.end, 'at', x.at, 'bad', i.st.b > x.start or i.st.w > x.start)",
+    )
+    clear = _scan(f"reverse({seen})", "2147483647", "struct<at:int,bad:boolean>", "if(x.at < 0, x.start, i.st)", "named_struct('at', x.at, 'bad', x.bad or i.st < x.end)")
+    kept = f"if(size(wide) = 0, wide, transform(filter({clear}, x -> x.at >= 0 and not x.bad), x -> element_at(wide, x.at + 1)))"
+    return met.select("doc_id", "base", F.expr(kept).alias("wide"))
 
 
 def reliabilities(patterns: list[tuple[int, int, int, int, int]], rounds: int = 50) -> dict[tuple[int, int, int, int], float]:
@@ -169,7 +188,7 @@ def train(counts: list[tuple[int, ...]]) -> list[float]:
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for each row of ``docs``.
 
-    A null or empty text has no spans. Rows that repeat a doc_id are read each. Without candidates nothing is added.
+    A null or empty text has no spans; a text with many takes time in proportion. Rows that repeat a doc_id are read each. Without candidates nothing is added.
     """
     met = settle(spans(docs))
     votes = met.select(F.explode("wide").alias("w")).groupBy(*(F.col(f"w.{c}").alias(c) for c in ("rank", "form", "known", "says", "size", "digits"))).agg(F.count(F.lit(1)).alias("n"))

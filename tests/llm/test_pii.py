@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from hornbeam.llm import pii
 
@@ -69,3 +70,36 @@ def test_odd_inputs(odd, none):
 def test_no_python_in_the_plan(odd):
     plan = pii.find(odd)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_candidates_against_all_pairs(spark):
+    """A candidate stays unless a base span, or a candidate that begins before it or is of an earlier kind, overlaps it."""
+    r = random.Random(14)
+    pieces = [*PIECES, "fe80::1ff:fe23:4567:890a", "2001:db8::1", "std::vector", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "sk-abcdefghij0123456789", "ghp_" + "a1" * 12, "212-555-0187", "123456789012345"]
+    texts = [r.choice(["", " ", ", "]).join(r.choice(pieces) for _ in range(r.randint(1, 12))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = [k for k in pii.KINDS if k != "email"]  # Python has no such anchor
+    added = 0
+    for x in pii.spans(df).collect():
+        text = texts[x["doc_id"]]
+        base = [(b["start"], b["rank"], b["end"]) for b in x["base"]]
+        assert base == brute(text)
+        emails = [(w["start"], w["rank"], w["end"]) for w in x["wide"] if w["rank"] == 0]
+        wide = sorted(emails + [(m.start(), pii.KINDS.index(k), m.end()) for k in kinds for m in re.finditer(pii.WIDE[k], text)])
+        over = lambda a, b: a[0] < b[2] and b[0] < a[2]
+        kept = [w for w in wide if not any(over(w, b) for b in base) and not any(over(w, o) and o[:2] < w[:2] for o in wide)]
+        got = sorted((w["start"], w["rank"], w["end"]) for w in x["wide"])
+        if "[at]" not in text:
+            assert got == kept, text
+            added += len(got)
+    assert added > 100
+
+
+def test_long_and_many_spans(spark):
+    began = time.time()
+    rows = [(0, "token sk-" + "a1" * 5000 + " end"), (1, "key " + "0f" * 5000), (2, "a@b.cd " * 50_000), (3, "call (212) 555-0187 or " * 20_000), (4, "host fe80::1ff:fe23:4567:890a")]
+    got = {x["doc_id"]: x for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["spans"] == "secret:6:10009" and got[1]["spans"] == "secret:4:10004"
+    assert got[2]["n_email"] == 50_000 and got[2]["spans"].endswith("email:349993:349999")
+    assert got[3]["n_added"] in (0, 20_000) and got[4]["spans"] == "ip:5:29"
+    assert time.time() - began < 60
