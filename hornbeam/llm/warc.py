@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from urllib.parse import quote, urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from .common import settle, table
 
 #: Bytes of an archive, about.
 ARCHIVE_BYTES = 4 << 20
+#: Bytes that reading decompresses at a time; what is left of them after a member is all that is copied.
+SLICE = 1 << 14
 #: Pages have no capture time; page 0 is taken to be captured then, each further one a second later.
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -73,13 +76,15 @@ def record(page: int | None, url: str | None, payload: bytes, refers_to: int | N
 
 def records(archive: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """Offset, length, header fields (lower-case names) and block of each member. A cut-off last member is an error."""
-    at = 0
+    at, view = 0, memoryview(archive)
     while at < len(archive):
-        member = zlib.decompressobj(31)
-        data = member.decompress(archive[at:])
+        member, parts, end = zlib.decompressobj(31), [], at
+        while not member.eof and end < len(archive):
+            parts.append(member.decompress(view[end : end + SLICE]))
+            end = min(end + SLICE, len(archive))
         if not member.eof:
             raise ValueError(f"the member at {at} is cut off")
-        size = len(archive) - at - len(member.unused_data)
+        data, size = b"".join(parts), end - at - len(member.unused_data)
         lines, _, rest = data.partition(b"\r\n\r\n")
         version, *rows = lines.decode().split("\r\n")
         if not version.startswith("WARC/"):
@@ -189,19 +194,29 @@ def loser_tree(runs: list[Iterator[tuple]], key) -> Iterator[tuple]:
             node //= 2
 
 
+def _run(parts: list[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of a run by their place in it; only some of them are Python values at a time."""
+    rows = pa.Table.from_batches(parts)
+    rows = rows.take(np.argsort(rows.column("at").to_numpy(), kind="stable"))  # an exchange may deliver its blocks in any order
+    for batch in rows.to_batches(max_chunksize=256):
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    runs: dict[str, list[tuple]] = {}
+    """One range's captures, its parts of the runs merged; they stay in columns until their turn comes."""
+    runs: dict[str, list[pa.RecordBatch]] = {}
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            runs.setdefault(row[8], []).append(row)
-    for rows in runs.values():
-        rows.sort(key=lambda r: r[11])  # an exchange may deliver a run's blocks in any order; they are sorted already
+        names = batch.column(8).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                runs.setdefault(names[a], []).append(batch.slice(a, b - a))
     out: list[tuple] = []
 
     def flush() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(_KINDS[:-1])], _NAMES[:-1])
 
-    for row in loser_tree([iter(runs[name]) for name in sorted(runs)], _order):
+    for row in loser_tree([_run(runs[name]) for name in sorted(runs)], _order):
         out.append(row)
         if len(out) == 4096:
             yield flush()

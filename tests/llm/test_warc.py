@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -37,6 +38,14 @@ def test_records_round_trip():
         list(warc.records(archive[:-3]))
 
 
+def test_archives_are_read_in_linear_time():
+    began = time.time()
+    archive = b"".join(warc.record(k, "http://a.example/", b"<p>x</p>" * (k % 50), None) for k in range(40_000))
+    assert sum(1 for _ in warc.records(archive)) == 40_000 and time.time() - began < 60
+    big = warc.record(0, "u", random.Random(1).randbytes(300_000), None)
+    assert [size for _, size, _, _ in warc.records(big + big)] == [len(big)] * 2
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 8])
 def test_loser_tree(n):
     r = random.Random(n)
