@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import groups, table
 
 PACKET = 188
 PROGRAM, PMT_PID, STREAM_PID = 1, 0x1000, 0x0100
@@ -226,9 +226,9 @@ def padded(text: bytes) -> bytes:
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
+        all_ = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        for at, end in groups(all_, 256):
+            part, texts = batch.slice(at, end - at), all_[at:end]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array([mux(padded(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
