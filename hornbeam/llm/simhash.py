@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, connected_components, settle, table
+from .common import LOWER, connected_components, free, settle, table
 
 SEED = 42
 WORDS = 4
@@ -145,6 +145,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataF
 
     Columns stay as they are. Rows that repeat the kept doc_id stay with it if their texts are equal or near.
     """
+    (kept,) = free(docs.columns, "kept")
     found = near_groups(docs, words, radius)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
+    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(kept)), "left_semi")
