@@ -10,8 +10,7 @@ from __future__ import annotations
 
 import time
 from collections import Counter
-from collections.abc import Iterator, Mapping
-from contextlib import contextmanager
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -27,11 +26,10 @@ from .storage import settle
 
 #: Frames that a relation's tuples are spread over before they are written as one.
 PARTS = 12
-#: New tuples that are sent to the other side of their join at most; more are dealt by key.
-SENT = 100_000
-#: Tuples of a component for each shuffle partition of a round, up to the session's number of partitions.
+#: Bytes of new tuples that are sent to the other side of their join at most; more are dealt by key.
+SENT_BYTES = 8 << 20
+#: Tuples of a part of a relation, about, when its parts are written as one.
 PER_PARTITION = 100_000
-_PARTITIONS, _ADAPTIVE = "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"
 
 
 class Diverging(RuntimeError):
@@ -52,19 +50,12 @@ def empty(spark: SparkSession, decl: Decl) -> DataFrame:
     return spark.createDataFrame([], ", ".join(f"{c} {kinds[t]}" for c, (_, t) in zip(columns(len(decl.columns)), decl.columns)) or f"{HIDDEN} int")
 
 
-@contextmanager
-def sized(spark: SparkSession, tuples: int) -> Iterator[None]:
-    """As many shuffle partitions as so many tuples need. A round of few tuples is one task then, and planned once."""
-    before = {k: spark.conf.get(k) for k in (_PARTITIONS, _ADAPTIVE)}
-    n = min(int(before[_PARTITIONS]), tuples // PER_PARTITION + 1)
-    spark.conf.set(_PARTITIONS, str(n))
-    if n == 1:
-        spark.conf.set(_ADAPTIVE, "false")
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+def measured(df: DataFrame, decl: Decl) -> tuple[int, int]:
+    """How many tuples, and how many bytes, a settled frame of the relation has."""
+    symbols = [F.octet_length(c) + 8 for c, (_, t) in zip(columns(len(decl.columns)), decl.columns) if t == "symbol"]
+    wide = reduce(lambda a, b: a + b, symbols, F.lit(8 * (1 + len(decl.columns) - len(symbols))))
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(wide.cast("long")), F.lit(0))).first()
+    return n, size
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -133,7 +124,7 @@ class Evaluator:
         unseen: dict[tuple[int, int], list[tuple[DataFrame, int]]] = {}
 
         def add(name: str, new: DataFrame) -> None:
-            n = new.count()
+            n, size = measured(new, self.program.decl(name))
             self.out.rounds.setdefault(name, []).append(n)
             if not n:
                 return
@@ -144,7 +135,7 @@ class Evaluator:
             for of in occurrences.values():
                 for r, k in of:
                     if r.atoms[k][0] == name:
-                        unseen.setdefault((id(r), k), []).append((new, n))
+                        unseen.setdefault((id(r), k), []).append((new, size))
 
         def full(name: str) -> DataFrame:
             return _union(parts[name]) if parts[name] else empty(self.spark, self.program.decl(name))
@@ -160,19 +151,18 @@ class Evaluator:
             self._check(rounds, component)
             for name in component:
                 frames = []
-                with sized(self.spark, sum(sizes.values())):
-                    for r, at in occurrences[name]:
-                        if news := unseen.pop((id(r), at), None):
-                            delta = _union([df for df, _ in news])
-                            if len(r.atoms) > 1 and sum(n for _, n in news) <= SENT:
-                                delta = F.broadcast(delta)
-                            frames.append(r.frame(self.spark, lambda k, n, at=at, delta=delta: delta if k == at else full(n) if n in members else static[n]))
-                    if frames:
-                        found = _union(frames).distinct()
-                        if parts[name]:
-                            known = full(name)
-                            found = found.join(known, [found[c] == known[c] for c in found.columns], "left_anti")
-                        add(name, settle(found))
+                for r, at in occurrences[name]:
+                    if news := unseen.pop((id(r), at), None):
+                        delta = _union([df for df, _ in news])
+                        if len(r.atoms) > 1 and sum(size for _, size in news) <= SENT_BYTES:
+                            delta = F.broadcast(delta)
+                        frames.append(r.frame(self.spark, lambda k, n, at=at, delta=delta: delta if k == at else full(n) if n in members else static[n], at))
+                if frames:
+                    found = _union(frames).distinct()
+                    if parts[name]:
+                        known = full(name)
+                        found = found.join(known, [found[c] == known[c] for c in found.columns], "left_anti")
+                    add(name, settle(found))
         for name in component:
             self.out.relations[name] = full(name)
 

@@ -2,7 +2,8 @@
 
 A frame holds a column for each variable that is still needed. Positive atoms join it on shared variables (and on
 expressions, as equi-keys), or semi-join it if they bring nothing needed; negated atoms anti-join it. Constants and
-repeated variables are filters on the relation, which reach its scan. A relation has columns c0, c1, ...; one without
+repeated variables are filters on the relation, which reach its scan. A rule begins with the tuples that are new, goes on
+with what is connected to them, and multiplies relations out only if nothing connects them. A relation has columns c0, c1, ...; one without
 columns has one row or none of a hidden column.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from hornbeam.functions.arithmetic import COMPARE, column, fallible
 from hornbeam.language import Atom, Clause, Cmp, Not, Pos, Var, Wildcard, variables
-from hornbeam.plans.body import binds, order
+from hornbeam.plans.body import binds, connected, order
 
 HIDDEN = "_u"
 
@@ -41,16 +42,18 @@ class RulePlan:
         self.body = order(clause.body)
         self.atoms: list[tuple[str, bool]] = [(lit.atom.name, isinstance(lit, Pos)) for lit in self.body if isinstance(lit, Pos | Not)]
 
-    def frame(self, spark: SparkSession, relation: Callable[[int, str], DataFrame]) -> DataFrame:
-        """Head tuples, with duplicates. relation: the frame for the atom at that place."""
+    def frame(self, spark: SparkSession, relation: Callable[[int, str], DataFrame], start: int | None = None) -> DataFrame:
+        """Head tuples, with duplicates. relation: the frame for the atom at that place; start: the place to begin with."""
+        places = [k for k, lit in enumerate(self.body) if isinstance(lit, Pos | Not)]
+        run = connected(self.body, None if start is None else places[start])
+        body = [self.body[k] for k in run]
         live = [set(variables(self.clause.head))]
-        for lit in reversed(self.body):
+        for lit in reversed(body):
             live.append(live[-1] | set(variables(lit)))
         live.reverse()
         df: DataFrame | None = None
         slot: dict[str, str] = {}
-        place = 0
-        for k, lit in enumerate(self.body):
+        for k, lit in enumerate(body):
             of = {v: F.col(c) for v, c in slot.items()}
             if isinstance(lit, Cmp):
                 df = unit(spark) if df is None else df
@@ -64,8 +67,7 @@ class RulePlan:
                     if fallible(value):
                         df = df.filter(F.col(slot[target]).isNotNull())
                 continue
-            rel = relation(place, lit.atom.name)
-            place += 1
+            rel = relation(places.index(run[k]), lit.atom.name)
             if isinstance(lit, Not):
                 df = self._without(unit(spark) if df is None else df, lit.atom, rel, of, k)
             else:
