@@ -22,10 +22,11 @@ RELATIONS = {
     "doc": ("id:number, lang:symbol, source:symbol, chars:number", "SELECT doc_id AS id, lang, source, n_chars AS chars FROM documents"),
     "label": ("id:number, quality:number, toxic:number", "SELECT doc_id AS id, CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic FROM labels"),
     "turn": ("conv:number, t:number, role:symbol", "SELECT conv_id AS conv, turn AS t, role FROM conversations"),
-    "edge": ("a:number, b:number", "SELECT o_custkey AS a, CAST(floor(o_orderkey / 10) AS BIGINT) AS b FROM orders WHERE o_orderkey % 13 = 0"),
-    "parent": ("c:number, p:number", "SELECT c_custkey AS c, CAST(floor(c_custkey / 4) AS BIGINT) AS p FROM customer WHERE c_custkey > 0"),
-    "low": ("k:number", "SELECT c_custkey AS k FROM customer WHERE c_custkey < 200"),
-    "seed": ("a:number, b:number", "SELECT 8000000 + s_suppkey AS a, s_suppkey AS b FROM supplier WHERE s_suppkey < 20"),
+    "edge": ("a:number, b:number", "SELECT o_custkey AS a, CAST(floor(o_custkey / 3) AS BIGINT) + o_orderkey % 5 AS b FROM orders"),
+    "parent": ("c:number, p:number", "SELECT c_custkey AS c, CAST(floor(c_custkey / 4) AS BIGINT) - 1 AS p FROM customer"),
+    "low": ("k:number", "SELECT s_suppkey AS k FROM supplier"),
+    "boss": ("c:number, p:number", "SELECT s_suppkey AS c, CAST(floor(s_suppkey / 4) AS BIGINT) - 1 AS p FROM supplier"),
+    "seed": ("a:number, b:number", "SELECT 8000000 + s_suppkey AS a, s_suppkey AS b FROM supplier"),
 }
 _TABLES = "region nation customer supplier part orders lineitem events documents labels conversations".split()
 START = 1096
@@ -44,8 +45,8 @@ _LEFT = "reach(x,y) :- edge(x,y). reach(x,y) :- reach(x,z), edge(z,y). "
 _RIGHT = "reach(x,y) :- edge(x,y). reach(x,y) :- edge(x,z), reach(z,y). "
 _SQL_REACH = "reach(a, b) AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b)"
 _UNREACH = _LEFT + f"node(x) :- edge(x,_). node(y) :- edge(_,y). un(x,y) :- node(x), node(y), !reach(x,y). out(y) :- un({START},y)."
-_SG = "sg(x,x) :- low(x). sg(x,y) :- parent(x,xp), parent(y,yp), low(x), low(y), sg(xp,yp), x != y. "
-_SQL_SG = "sg(a, b) AS (SELECT k, k FROM low UNION SELECT x.c, y.c FROM sg JOIN parent x ON x.p = sg.a JOIN parent y ON y.p = sg.b WHERE x.c <> y.c AND x.c < 200 AND y.c < 200)"
+_SG = "sg(x,x) :- low(x). sg(x,y) :- boss(x,xp), boss(y,yp), sg(xp,yp), x != y. "
+_SQL_SG = "sg(a, b) AS (SELECT k, k FROM low UNION SELECT x.c, y.c FROM sg JOIN boss x ON x.p = sg.a JOIN boss y ON y.p = sg.b WHERE x.c <> y.c)"
 _WRAP = "CAST((({0} + 9223372036854775808) % 18446744073709551616 + 18446744073709551616) % 18446744073709551616 - 9223372036854775808 AS BIGINT)"
 
 
@@ -53,12 +54,12 @@ def _wrap(x: str) -> str:
     return _WRAP.format(x)
 
 
-#: name: (mode, program, SQL over the relations above)
-QUERIES: dict[str, tuple[str, str, str]] = {}
+#: name: (mode, program, SQL over the relations above, output)
+QUERIES: dict[str, tuple[str, str, str, str]] = {}
 
 
-def _add(name: str, outputs: str, rules: str, sql: str, decls: str = "", mode: str = "passthrough") -> None:
-    QUERIES[name] = (mode, program(outputs, rules, decls), sql)
+def _add(name: str, outputs: str, rules: str, sql: str, decls: str = "", mode: str = "passthrough", output: str = "out") -> None:
+    QUERIES[name] = (mode, program(outputs, rules, decls), sql, output)
 
 
 _add("scan_project", "out(k:number, n:number)", "out(k,n) :- cust(k,n,_).", "SELECT DISTINCT k, nation AS n FROM cust")
@@ -74,7 +75,7 @@ for _n, _op in (("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">="), ("eq", "="
     _add(f"compare_{_n}", "out(k:number)", f"out(k) :- part(k,_,s), s {_op} 10.", f"SELECT DISTINCT k FROM part WHERE size {_op} 10")
 _add("symbol_order", "out(a:symbol, b:symbol)", "out(a,b) :- nation(_,a,_), nation(_,b,_), a < b.", "SELECT DISTINCT x.name AS a, y.name AS b FROM nation x JOIN nation y ON x.name < y.name")
 _add("assign_chain", "out(k:number, y:number)", "out(k,y) :- y = z*2, part(k,_,_), z = k+1.", "SELECT DISTINCT k, (k + 1) * 2 AS y FROM part")
-_add("constraint_only", "out(x:number)", "out(x) :- x = 5 - 10 % 3.", "SELECT CAST(4 AS BIGINT) AS x")
+_add("constraint_only", "out(x:number)", "out(x) :- y = 40 - 7 * 5 + 12 / 5, x = y - 3.", "SELECT CAST(4 AS BIGINT) AS x")
 _add("facts_values", "out(a:number, b:symbol)", 'out(1,"a"). out(1+2,"b"). out(-3,"c\\"d").', """SELECT CAST(a AS BIGINT) AS a, b FROM (VALUES (1, 'a'), (3, 'b'), (-3, 'c"d')) t(a, b)""")
 _add("zero_arity_gate", "out(k:number)", "has() :- part(_,_,50). out(k) :- region(k,_), has().", "SELECT k FROM region WHERE EXISTS (SELECT 1 FROM part WHERE size = 50)", ".decl has()")
 _add("zero_arity_negated", "out(k:number)", "has() :- part(_,_,51). out(k) :- region(k,_), !has().", "SELECT k FROM region WHERE NOT EXISTS (SELECT 1 FROM part WHERE size = 51)", ".decl has()")
@@ -82,11 +83,11 @@ _add("join_two", "out(n:number, o:number)", 'out(n,o) :- cust(c,n,_), ord(o,c,"F
 _add("join_three", "out(seg:symbol, p:number)", "out(g,p) :- cust(c,7,g), ord(o,c,_,_), item(o,p,_,_).", "SELECT DISTINCT seg, p FROM cust JOIN ord ON ord.c = cust.k JOIN item ON item.o = ord.o WHERE nation = 7")
 _add("join_star", "out(r:symbol, n:symbol, k:number)", "out(r,n,k) :- region(i,r), nation(j,n,i), cust(k,j,_).", "SELECT DISTINCT region.name AS r, nation.name AS n, cust.k AS k FROM region JOIN nation ON nation.r = region.k JOIN cust ON cust.nation = nation.k")
 _add("cross_product", "out(a:symbol, b:symbol)", "out(a,b) :- region(_,a), region(_,b).", "SELECT DISTINCT x.name AS a, y.name AS b FROM region x, region y")
-_add("theta_join", "out(a:number, c:number)", "out(a,c) :- part(a,b,s), a < 100, part(c,b,t), s < t.", "SELECT DISTINCT x.k AS a, y.k AS c FROM part x JOIN part y ON x.brand = y.brand AND x.size < y.size WHERE x.k < 100")
-_add("expr_equijoin", "out(x:number, y:number)", "p(a,b) :- edge(a,b). q(b+1,a-1) :- edge(a,b), edge(a+0,_). out(x,y) :- p(x+1,y), q(y+1,x).", "SELECT DISTINCT p.a - 1 AS x, p.b AS y FROM edge p JOIN edge q ON q.b + 1 = p.b + 1 AND q.a - 1 = p.a - 1", ".decl p(a:number, b:number) .decl q(a:number, b:number)")
+_add("theta_join", "out(o:number, a:number, b:number)", "out(o,a,b) :- item(o,p,_,a), item(o,q,_,b), a < b, p > q.", "SELECT DISTINCT x.o, x.ln AS a, y.ln AS b FROM item x JOIN item y ON x.o = y.o AND x.ln < y.ln AND x.p > y.p")
+_add("expr_equijoin", "out(s:number, n:number)", "home(r,n) :- nation(n,_,r). tens(s/10,s) :- part(_,_,s). out(s,n) :- home(s%5,n), tens(n/5,s).", "SELECT DISTINCT size AS s, nation.k AS n FROM nation JOIN part ON nation.r = size % 5 AND size // 10 = nation.k // 5", ".decl home(r:number, n:number) .decl tens(t:number, s:number)")
 _add("semi_join", "out(k:number)", "out(k) :- cust(k,_,_), ord(_,k,\"P\",_).", "SELECT DISTINCT k FROM cust WHERE EXISTS (SELECT 1 FROM ord WHERE ord.c = cust.k AND status = 'P')")
 _add("anti_join", "out(k:number)", 'urgent(c) :- ord(_,c,_,"1-URGENT"). out(k) :- cust(k,_,_), !urgent(k).', "SELECT DISTINCT k FROM cust WHERE NOT EXISTS (SELECT 1 FROM ord WHERE ord.c = cust.k AND prio = '1-URGENT')", ".decl urgent(c:number)")
-_add("anti_join_edb", "out(d:number)", "labelled(d) :- label(d,_,_). out(d) :- doc(d,_,_,_), !labelled(d).", "SELECT DISTINCT id AS d FROM doc WHERE NOT EXISTS (SELECT 1 FROM label WHERE label.id = doc.id)", ".decl labelled(d:number)")
+_add("anti_join_derived", "out(d:number)", "labelled(d) :- label(d,_,_). out(d) :- doc(d,_,_,_), !labelled(d).", "SELECT DISTINCT id AS d FROM doc WHERE NOT EXISTS (SELECT 1 FROM label WHERE label.id = doc.id)", ".decl labelled(d:number)")
 _add("anti_join_input", "out(a:number, b:number)", "out(b,a) :- edge(a,b), !edge(b,a).", "SELECT DISTINCT b AS a, a AS b FROM edge x WHERE NOT EXISTS (SELECT 1 FROM edge y WHERE y.a = x.b AND y.b = x.a)")
 _add("anti_join_arith", "out(k:number)", "out(k) :- part(k,_,s), !edge(k, 100/(s-10)).", "SELECT DISTINCT k FROM part WHERE size <> 10 AND NOT EXISTS (SELECT 1 FROM edge WHERE a = k AND b = 100 // nullif(size - 10, 0))")
 _add("union_rules", "out(k:number)", "out(k) :- cust(k,3,_). out(k) :- part(k,_,7).", "SELECT k FROM cust WHERE nation = 3 UNION SELECT k FROM part WHERE size = 7")
@@ -97,13 +98,22 @@ _add("turn_pairs", "out(c:number, t:number)", "out(c,t) :- turn(c,t,r), turn(c,t
 _add("tc_linear_left", "out(a:number, b:number)", _LEFT + "out(x,y) :- reach(x,y).", f"WITH RECURSIVE {_SQL_REACH} SELECT a, b FROM reach", _REACH)
 _add("tc_linear_right", "out(a:number, b:number)", _RIGHT + "out(x,y) :- reach(x,y).", f"WITH RECURSIVE {_SQL_REACH} SELECT a, b FROM reach", _REACH)
 _add("tc_nonlinear", "out(a:number, b:number)", "reach(x,y) :- edge(x,y). reach(x,y) :- reach(x,z), reach(z,y). out(x,y) :- reach(x,y).", f"WITH RECURSIVE {_SQL_REACH} SELECT a, b FROM reach", _REACH)
-for _mode in ("magicset", "guarded", "guarded-compact"):
+_MODES = ("passthrough", "magicset", "guarded", "guarded-compact")
+for _mode in _MODES[1:]:
     _add(f"tc_bound_{_mode.replace('-', '_')}", "out(b:number)", _LEFT + f"out(y) :- reach({START},y).", f"WITH RECURSIVE {_SQL_REACH} SELECT b FROM reach WHERE a = {START}", _REACH, _mode)
 _add("tc_bound_right", "out(b:number)", _RIGHT + f"out(y) :- reach({START},y).", f"WITH RECURSIVE {_SQL_REACH} SELECT b FROM reach WHERE a = {START}", _REACH, "guarded-compact")
-_add(
-    "reach_complement_bound", "out(b:number)", _UNREACH,
+
+
+def _add_modes(name: str, modes: tuple[str, ...], *rest: str) -> None:
+    """The last mode under the name itself, the others with theirs."""
+    for mode in modes:
+        _add(name if mode == modes[-1] else f"{name}_{mode.replace('-', '_')}", *rest, mode)
+
+
+_add_modes(
+    "reach_complement_bound", _MODES[1:], "out(b:number)", _UNREACH,
     f"WITH RECURSIVE {_SQL_REACH}, node AS (SELECT a FROM edge UNION SELECT b FROM edge) SELECT n.a AS b FROM node n WHERE EXISTS (SELECT 1 FROM node WHERE a = {START}) AND NOT EXISTS (SELECT 1 FROM reach WHERE reach.a = {START} AND reach.b = n.a)",
-    _REACH + " .decl node(x:number) .decl un(a:number, b:number)", "guarded-compact",
+    _REACH + " .decl node(x:number) .decl un(a:number, b:number)",
 )
 _ANC = "anc(x,y) :- parent(x,y). anc(x,y) :- parent(x,z), anc(z,y). "
 _add("ancestors", "out(a:number, b:number)", _ANC + "out(x,y) :- anc(x,y).", "WITH RECURSIVE anc(a, b) AS (SELECT c, p FROM parent UNION SELECT a, p FROM anc JOIN parent ON parent.c = anc.b) SELECT a, b FROM anc", ".decl anc(a:number, b:number)")
@@ -113,13 +123,13 @@ _add(
     ".decl anc(a:number, b:number) .decl non(a:number, b:number)", "guarded-compact",
 )
 _add("same_generation", "out(a:number, b:number)", _SG + "out(x,y) :- sg(x,y).", f"WITH RECURSIVE {_SQL_SG} SELECT a, b FROM sg", ".decl sg(a:number, b:number)")
-_add(
-    "same_generation_negation_bound", "out(y:number)", _SG + "non(x,y) :- low(x), low(y), !sg(x,y). out(y) :- non(100,y).",
-    f"WITH RECURSIVE {_SQL_SG} SELECT k AS y FROM low WHERE NOT EXISTS (SELECT 1 FROM sg WHERE a = 100 AND b = k)", ".decl sg(a:number, b:number) .decl non(a:number, b:number)", "guarded-compact",
+_add_modes(
+    "same_generation_negation_bound", _MODES, "out(y:number)", _SG + "non(x,y) :- low(x), low(y), !sg(x,y). out(y) :- non(7,y).",
+    f"WITH RECURSIVE {_SQL_SG} SELECT k AS y FROM low WHERE EXISTS (SELECT 1 FROM low WHERE k = 7) AND NOT EXISTS (SELECT 1 FROM sg WHERE a = 7 AND b = k)", ".decl sg(a:number, b:number) .decl non(a:number, b:number)",
 )
 _add(
-    "mutual_recursion", "out(a:number, b:number)", f"odd(x,y) :- edge(x,y), x < {START}. odd(x,y) :- even(x,z), edge(z,y). even(x,y) :- odd(x,z), edge(z,y). out(x,y) :- even(x,y).",
-    f"WITH RECURSIVE w(a, b, odd) AS (SELECT a, b, true FROM edge WHERE a < {START} UNION SELECT w.a, e.b, NOT odd FROM w JOIN edge e ON e.a = w.b) SELECT a, b FROM w WHERE NOT odd",
+    "mutual_recursion", "out(a:number, b:number)", "odd(x,y) :- edge(x,y). odd(x,y) :- even(x,z), edge(z,y). even(x,y) :- odd(x,z), edge(z,y). out(x,y) :- even(x,y).",
+    "WITH RECURSIVE w(a, b, odd) AS (SELECT a, b, true FROM edge UNION SELECT w.a, e.b, NOT odd FROM w JOIN edge e ON e.a = w.b) SELECT a, b FROM w WHERE NOT odd",
     ".decl odd(a:number, b:number) .decl even(a:number, b:number)",
 )
 _add("arith_recursion", "out(x:number)", "n(0). n(x+1) :- n(x), x < 12. out(x) :- n(x).", "SELECT CAST(i AS BIGINT) AS x FROM range(0, 13) t(i)", ".decl n(x:number)")
@@ -128,20 +138,31 @@ _add(
     "WITH RECURSIVE r(a, b) AS (SELECT a, b FROM seed UNION SELECT r.a, e.b FROM r JOIN edge e ON e.a = r.b) SELECT a, b FROM r",
 )
 _add(
-    "fallback_mixed", "out(b:number)", f"q(x,y) :- edge(x,y), x < 300. q(x,y) :- q(x,z), edge(z,y), z < 300. s(x) :- q(x,y), blocked(y). blocked(y) :- edge(y,y+1). blocked(y) :- parent(_,y), y % 7 = 0. p(x,y) :- edge(x,y). p(x,y) :- p(x,z), !s(z), q(z,y). out(y) :- p({START},y).",
-    f"""WITH RECURSIVE q(a, b) AS (SELECT a, b FROM edge WHERE a < 300 UNION SELECT q.a, e.b FROM q JOIN edge e ON e.a = q.b WHERE e.a < 300),
-blocked AS (SELECT a AS y FROM edge WHERE b = a + 1 UNION SELECT p FROM parent WHERE p % 7 = 0), s AS (SELECT DISTINCT a AS x FROM q JOIN blocked ON blocked.y = q.b),
-p(a, b) AS (SELECT a, b FROM edge WHERE a = {START} UNION SELECT p.a, q.b FROM p JOIN q ON q.a = p.b WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.x = p.b)) SELECT b FROM p""",
-    ".decl q(a:number, b:number) .decl s(x:number) .decl blocked(x:number) .decl p(a:number, b:number)", "guarded-compact",
+    "loaded_bridge", "out(b:number)", "seed(x,y) :- seed(x,z), edge(z,y). out(y) :- seed(8000007,y).",
+    "WITH RECURSIVE r(a, b) AS (SELECT a, b FROM seed WHERE a = 8000007 UNION SELECT r.a, e.b FROM r JOIN edge e ON e.a = r.b) SELECT b FROM r", mode="guarded-compact",
 )
-_add(
-    "two_queries", "out(s:number, b:number)", _LEFT + f"one(y) :- reach({START},y). two(y) :- reach(700,y). out(1,y) :- one(y). out(2,y) :- two(y).",
-    f"WITH RECURSIVE {_SQL_REACH} SELECT CAST(CASE a WHEN {START} THEN 1 ELSE 2 END AS BIGINT) AS s, b FROM reach WHERE a IN ({START}, 700)",
-    _REACH + " .decl one(b:number) .decl two(b:number) .output one .output two", "guarded-compact",
+#: Who is heavy is asked before their line of superiors is, but decided by it: asking would put the negation into a recursion.
+_add_modes(
+    "fallback_mixed", ("passthrough", "guarded", "guarded-compact"), "out(z:number)",
+    f"line(x,y) :- parent(x,y). line(x,y) :- parent(x,z), line(z,y). far(y) :- cust(y,3,_). heavy(x) :- line(x,y), far(y). ally(x,z) :- edge(x,y), !heavy(y), line(y,z). step(x,y) :- edge(x,y). step(x,y) :- step(x,z), edge(z,y). out(z) :- ally({START},z). out(y) :- step({START},y).",
+    f"""WITH RECURSIVE line(a, b) AS (SELECT c, p FROM parent UNION SELECT line.a, p FROM line JOIN parent ON parent.c = line.b), heavy AS (SELECT a FROM line JOIN cust ON cust.k = line.b WHERE cust.nation = 3),
+{_SQL_REACH} SELECT line.b AS z FROM edge JOIN line ON line.a = edge.b WHERE edge.a = {START} AND NOT EXISTS (SELECT 1 FROM heavy WHERE heavy.a = edge.b) UNION SELECT b FROM reach WHERE a = {START}""",
+    ".decl line(a:number, b:number) .decl far(x:number) .decl heavy(x:number) .decl ally(a:number, b:number) .decl step(a:number, b:number)",
 )
+_TWO = _LEFT + f"one(y) :- reach({START},y). two(y) :- reach(700,y). out(1,y) :- one(y). out(2,y) :- two(y)."
+_TWO_DECLS = _REACH + " .decl one(b:number) .decl two(b:number) .output one .output two"
+_add("two_queries", "out(s:number, b:number)", _TWO, f"WITH RECURSIVE {_SQL_REACH} SELECT CAST(CASE a WHEN {START} THEN 1 ELSE 2 END AS BIGINT) AS s, b FROM reach WHERE a IN ({START}, 700)", _TWO_DECLS, "guarded-compact")
+for _name, _at in (("one", START), ("two", 700)):
+    _add(f"two_queries_{_name}", "out(s:number, b:number)", _TWO, f"WITH RECURSIVE {_SQL_REACH} SELECT b FROM reach WHERE a = {_at}", _TWO_DECLS, "guarded-compact", _name)
+_KEPT = _LEFT + f"asked(y) :- reach({START},y). out(x) :- reach(x,x)."
+_KEPT_DECLS = _REACH + " .decl asked(b:number) .output asked .output reach"
+_add("output_preserved", "out(n:number)", _KEPT, f"WITH RECURSIVE {_SQL_REACH} SELECT DISTINCT a AS n FROM reach WHERE a = b", _KEPT_DECLS, "guarded-compact")
+_add("output_preserved_asked", "out(n:number)", _KEPT, f"WITH RECURSIVE {_SQL_REACH} SELECT b FROM reach WHERE a = {START}", _KEPT_DECLS, "guarded-compact", "asked")
+_add("output_preserved_reach", "out(n:number)", _KEPT, f"WITH RECURSIVE {_SQL_REACH} SELECT a, b FROM reach", _KEPT_DECLS, "guarded-compact", "reach")
+#: Relations whose names are those that the rewrite would give.
 _add(
-    "output_preserved", "out(n:number)", _LEFT + f"asked(y) :- reach({START},y). out(x) :- reach(x,x).", f"WITH RECURSIVE {_SQL_REACH} SELECT DISTINCT a AS n FROM reach WHERE a = b",
-    _REACH + " .decl asked(b:number) .output asked .output reach", "guarded-compact",
+    "taken_names", "out(b:number)", _LEFT + f"reach_bf(y) :- reach({START},y), y < 9. magic_reach_bf(x) :- reach_bf(x). out(y) :- reach({START},y). out(x) :- magic_reach_bf(x).",
+    f"WITH RECURSIVE {_SQL_REACH} SELECT b FROM reach WHERE a = {START}", _REACH + " .decl reach_bf(b:number) .decl magic_reach_bf(b:number)", "guarded-compact",
 )
 _add(
     "projection_barrier", "out(z:number)", f"p(x,z) :- edge(x,_), low(z). out(z) :- p({START},z).", f"SELECT k AS z FROM low WHERE EXISTS (SELECT 1 FROM edge WHERE a = {START})", ".decl p(x:number, z:number)", "guarded-compact",
@@ -163,11 +184,11 @@ def bound(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataF
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    mode, text, _ = QUERIES[name]
+    mode, text, _, output = QUERIES[name]
     engine = Engine(spark, mode)
     for relation, df in bound(spark, sf_dir, [r for r in parse(text).inputs]).items():
         engine.bind(relation, df)
-    return engine.run(text)["out"]
+    return engine.run(text)[output]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -176,7 +197,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     out = {}
-    for name, (_, text, sql) in QUERIES.items():
+    for name, (_, text, sql, _) in QUERIES.items():
         views = ", ".join(f"{r} AS ({RELATIONS[r][1]})" for r in RELATIONS if re.search(rf"\b{r}\b", sql))
         rest = re.sub(r"^WITH (RECURSIVE )?", ", ", sql) if sql.startswith("WITH ") else f" {sql}"
         out[name] = f"WITH RECURSIVE {views}{rest}" if views else sql
