@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+#: Names that operators use for columns of their own.
+CLASHING = "fp _gone _gone_id _gone_hash gone lines line hash row id root sim raw words again left _lines _text _bad _hash _kept _found found score bucket doc at lead".split()
 SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st".split()
 
 
@@ -15,7 +17,8 @@ def odd(spark):
     r = random.Random(3)
     long = "\n".join(prose(r, 60) for _ in range(60))
     rows = [(1, "Hello, World! again and again", 7), (2, None, 7), (3, "", 7), (4, long, 7), (5, "same words here", 7), (5, "same words here", 7), (None, "no number", 7), (6, "   \n\t ", 7), (7, "Ünïcödé \U0001f600 ß", None), (8, "x" * 5000, 7)]
-    return spark.createDataFrame([(a, b, "en", "src", len(b or ""), c, "k") for a, b, c in rows], "doc_id long, text string, lang string, source string, n_chars long, key int, fp string")
+    names = CLASHING
+    return spark.createDataFrame([(a, b, "en", "src", len(b or ""), c, *["k"] * len(names)) for a, b, c in rows], "doc_id long, text string, lang string, source string, n_chars long, key int, " + ", ".join(f"`{n}` string" for n in names))
 
 
 @pytest.fixture(scope="session")
