@@ -14,8 +14,9 @@ from dataclasses import asdict
 from hornbeam.language import ProgramError, parse, round_trips, show, tokens
 from hornbeam.plans.checks import diagnose, graph
 from hornbeam.plans.rewrite import MODES, explain, inspect, rewrite
+from hornbeam.plans.sql import emit_sql
 
-COMMANDS = ("lex", "parse", "roundtrip", "check", "explain", "inspect", "emit", "run", "run-naive", "compare")
+COMMANDS = ("lex", "parse", "roundtrip", "check", "explain", "inspect", "emit", "sql", "run", "run-naive", "compare")
 
 
 def _session(master: str | None):
@@ -81,6 +82,8 @@ def main(argv: list[str] | None = None) -> int:
             return end("ok", components=g.components, strata=g.strata)
         if a.command == "inspect":
             return end("ok", **inspect(text, a.mode))
+        if a.command == "sql":
+            return end("ok", sql=emit_sql(program))
         if a.command in ("explain", "emit"):
             print(explain(text, a.mode) if a.command == "explain" else show(rewrite(program, a.mode).program), end="")
             return 0

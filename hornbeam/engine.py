@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hornbeam.language import Program, parse
 from hornbeam.operators.fixpoint import Evaluation, Evaluator
 from hornbeam.operators.rule import HIDDEN
+from hornbeam.operators.storage import Stop
 from hornbeam.plans.rewrite import Rewrite, rewrite
 from hornbeam.sources import facts
 
@@ -38,6 +40,16 @@ class Result:
                 out[name] = df.count() - (had.distinct().count() if had is not None else 0)
         return out
 
+    def tuples(self, checkpoints: bool = True) -> int:
+        """Derived tuples in all; without ``checkpoints``, those of the rewrite's checkpoint relations don't count."""
+        role = self.rewritten.decision.final.role if self.rewritten.decision else {}
+        return sum(n for name, n in self.counts().items() if checkpoints or role.get(name) != "checkpoint")
+
+    def plan(self, name: str) -> str:
+        """Spark's formatted plan of an output; what is behind checkpoints is done and no part of it."""
+        df = self[name]
+        return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
     def profile(self) -> dict:
         relations = {n: {"num-tuples": k, "iteration": {str(i): {"num-tuples": c} for i, c in enumerate(self.evaluation.rounds.get(n, []))}} for n, k in self.counts().items()}
         return {"root": {"program": {"relation": relations}}}
@@ -52,13 +64,19 @@ class Result:
 
 class Engine:
     """Runs rule programs. mode: the rewrite; strategy: seminaive or naive; max_rounds and deadline (seconds) stop
-    recursions that don't end; everything: compute relations that no output needs, too."""
+    recursions that don't end, the deadline within a round too; everything: compute relations that no output needs, too."""
 
     def __init__(self, spark: SparkSession, mode: str = "guarded-compact", strategy: str = "seminaive", max_rounds: int | None = None, deadline: float | None = None, everything: bool = False):
         self.spark, self.mode, self.strategy = spark, mode, strategy
         self.limits = {"max_rounds": max_rounds, "deadline": deadline, "everything": everything}
         self.frames: dict[str, DataFrame] = {}
         self.folder: str | None = None
+        self.stop: Stop | None = None
+
+    def cancel(self) -> None:
+        """Ends the run that another thread is in; ``run`` raises ``Cancelled`` there."""
+        if self.stop:
+            self.stop.now()
 
     def bind(self, name: str, df: DataFrame) -> Engine:
         self.frames[name] = df
@@ -69,6 +87,7 @@ class Engine:
         return self
 
     def run(self, text: str | Program) -> Result:
+        self.stop = Stop(self.spark, f"hornbeam-{uuid.uuid4().hex}")
         program = parse(text) if isinstance(text, str) else text
         done = rewrite(program, self.mode)
         loaded = {}
@@ -78,7 +97,7 @@ class Engine:
                 loaded[name] = facts.bind(self.frames[name], decl)
             elif self.folder is not None:
                 loaded[name] = facts.load(self.spark, self.folder, decl)
-        return Result(program, done, Evaluator(self.spark, done.program, loaded, self.strategy, **self.limits).run())
+        return Result(program, done, Evaluator(self.spark, done.program, loaded, self.strategy, stop=self.stop, **self.limits).run())
 
 
 def compare(spark: SparkSession, text: str, folder: str | None = None, frames: dict[str, DataFrame] | None = None) -> dict[str, bool]:

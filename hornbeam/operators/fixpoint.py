@@ -9,6 +9,7 @@ reliably, so plans stay short and lost executors cost a read, not the recursion.
 from __future__ import annotations
 
 import time
+import uuid
 from collections import Counter
 from collections.abc import Mapping
 from dataclasses import dataclass, field
@@ -22,7 +23,7 @@ from hornbeam.language import Decl, Not, Pos, Program
 from hornbeam.plans.checks import Graph, graph
 
 from .rule import HIDDEN, RulePlan, columns
-from .storage import settle
+from .storage import Stop, settle
 
 #: Frames that a relation's tuples are spread over before they are written as one.
 PARTS = 12
@@ -33,7 +34,11 @@ PER_PARTITION = 100_000
 
 
 class Diverging(RuntimeError):
-    """A recursion over its limit of rounds or seconds."""
+    """A recursion over its limit of rounds, or a run over its limit of seconds."""
+
+
+class Cancelled(RuntimeError):
+    """A run that was ended from outside."""
 
 
 @dataclass
@@ -63,10 +68,12 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 class Evaluator:
-    def __init__(self, spark: SparkSession, program: Program, loaded: Mapping[str, DataFrame], strategy: str = "seminaive", max_rounds: int | None = None, deadline: float | None = None, everything: bool = False):
-        """loaded: frames of input relations; everything: also relations that no output needs; deadline: seconds."""
+    def __init__(self, spark: SparkSession, program: Program, loaded: Mapping[str, DataFrame], strategy: str = "seminaive", max_rounds: int | None = None, deadline: float | None = None, everything: bool = False, stop: Stop | None = None):
+        """loaded: frames of input relations; everything: also relations that no output needs; deadline: seconds,
+        after which the running job is ended too; stop: what ends the run from outside."""
         self.spark, self.program, self.strategy = spark, program, strategy
-        self.max_rounds, self.until = max_rounds, time.monotonic() + deadline if deadline else None
+        self.max_rounds, self.seconds, self.until = max_rounds, deadline, None
+        self.stop = stop or Stop(spark, f"hornbeam-{uuid.uuid4().hex}")
         self.loaded = {n: loaded[n] if n in loaded else empty(spark, program.decl(n)) for n in program.inputs}
         self.rules: dict[str, list[RulePlan]] = {}
         for c in program.clauses:
@@ -85,8 +92,25 @@ class Evaluator:
         return empty(self.spark, self.program.decl(name))
 
     def run(self) -> Evaluation:
+        self.until = time.monotonic() + self.seconds if self.seconds is not None else None
+        try:
+            with self.stop.watching(self.seconds):
+                return self._run()
+        except (Diverging, Cancelled):
+            raise
+        except Exception as e:
+            if self.stop.ended.is_set():  # a job that was ended fails
+                raise self._ended("the running job was ended") from e
+            raise
+
+    def _ended(self, where: str) -> Exception:
+        late = self.until is not None and time.monotonic() >= self.until
+        return Diverging(f"not done in time: {where}") if late else Cancelled(where)
+
+    def _run(self) -> Evaluation:
         with wrapping(self.spark):
             for component in self.components:
+                self._check(0, component)
                 if not self.graph.recursive(component):
                     self._once(component[0])
                 elif self.strategy == "naive":
@@ -111,8 +135,8 @@ class Evaluator:
     def _check(self, rounds: int, names: list[str]) -> None:
         if self.max_rounds is not None and rounds > self.max_rounds:
             raise Diverging(f"{', '.join(names)}: not done after {self.max_rounds} rounds")
-        if self.until is not None and time.monotonic() > self.until:
-            raise Diverging(f"{', '.join(names)}: not done in time, after {rounds} rounds")
+        if self.stop.ended.is_set() or self.until is not None and time.monotonic() >= self.until:
+            raise self._ended(f"{', '.join(names)}, after {rounds} rounds")
 
     def _loop(self, component: list[str]) -> None:
         members = set(component)

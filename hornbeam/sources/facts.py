@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hornbeam.language import Decl
@@ -38,24 +38,35 @@ def load(spark: SparkSession, folder: str, decl: Decl) -> DataFrame:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return empty(spark, decl)
-    rows = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("row"))
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("row"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     n = len(decl.columns)
     if not n:
         good = F.col("row").isin("", "()")
-        _refuse(rows.filter(~good), path)
+        _refuse(rows, good, path)
         return rows.limit(1).select(F.lit(1).alias(HIDDEN))
-    parts = rows.select("row", F.split("row", "\t", -1).alias("part"))
+    parts = rows.select("*", F.split("row", "\t", -1).alias("part"))
     good = F.size("part") == n
     for k, (_, kind) in enumerate(decl.columns):
         part = F.get("part", F.lit(k))
         good &= F.coalesce(part.rlike("^[+-]?[0-9]+$") & F.expr(f"try_cast(part[{k}] as bigint)").isNotNull() if kind == "number" else ~part.contains("\x00"), F.lit(False))
-    _refuse(parts.filter(~F.coalesce(good, F.lit(False))), path)
+    _refuse(parts, F.coalesce(good, F.lit(False)), path)
     return parts.select(*((F.expr(f"try_cast(get(part, {k}) as bigint)") if kind == "number" else F.get("part", F.lit(k))).alias(f"c{k}") for k, (_, kind) in enumerate(decl.columns)))
 
 
-def _refuse(bad: DataFrame, path: str) -> None:
-    if row := bad.select("row").head():
-        raise FactsError(f"{path}: a row does not fit its relation: {row[0][:200]!r}")
+def _refuse(rows: DataFrame, good: Column, path: str) -> None:
+    """An error with the line of the first row that isn't ``good``. Lines are counted over the blocks that Spark reads a file in."""
+    if rows.filter(~good).isEmpty():
+        return
+    # rows of a block come one after the other, in a partition that may hold other blocks too
+    placed = rows.select("row", "file", "block", F.monotonically_increasing_id().alias("at"), (~good).alias("bad"))
+    blocks = placed.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.min_by("row", F.when(F.col("bad"), F.col("at"))).alias("row"), F.min(F.when(F.col("bad"), F.col("at"))).alias("at"))
+    before = 0
+    for b in blocks.orderBy("file", "block").toLocalIterator():  # one row for each block of a file
+        if b["block"] == 0:
+            before = 0
+        if b["at"] is not None:
+            raise FactsError(f"{b['file']}:{before + b['at'] - b['first'] + 1}: a row does not fit its relation: {b['row'][:200]!r}")
+        before += b["n"]
 
 
 def lines(df: DataFrame) -> DataFrame:
