@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from hornbeam.llm import neardup
+from hornbeam.llm.simhash import majority
 from tests.llm.conftest import prose
 
 
@@ -49,3 +52,29 @@ def test_odd_inputs(odd, none):
     assert neardup.keep_one(none).count() == 0
     out = neardup.keep_one(odd)
     assert out.columns == odd.columns and {2, 5, 7} <= {x["doc_id"] for x in out.collect()}
+
+
+def test_fingerprints_alone_link_what_is_within_four_bits(spark, monkeypatch):
+    r = random.Random(23)
+    rows = []
+    for _ in range(12):
+        words = prose(r, 300).split()
+        for k in range(4):
+            rows.append((len(rows), " ".join(words[: len(words) - k])))
+    prints = [majority(neardup.shingles(t.encode())) for _, t in rows]
+    # within a group of texts that only lose words at the end, linked by four bits
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(i):
+                if (prints[i] ^ prints[j]).bit_count() <= 4:
+                    group[i] = group[j] = min(group[i], group[j])
+    monkeypatch.setattr(neardup, "band_pairs", lambda each: each.select(neardup.F.col("key").alias("a"), neardup.F.col("key").alias("b")).limit(0))
+    got = sorted(x["doc_id"] for x in neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [k for k in range(len(rows)) if group[k] == k] and len(got) < len(rows)
+
+
+def test_fingerprint_is_the_majority_of_the_set(spark):
+    texts = [prose(random.Random(24), n) for n in (1, 5, 6, 90)]
+    got = neardup.signatures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x["doc"]: x["fp"] for x in got} == {k: int(np.uint64(majority(neardup.shingles(t.encode()))).view(np.int64)) for k, t in enumerate(texts)}
