@@ -1,9 +1,12 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hornbeam.llm import neardup
+from hornbeam.llm.common import connected_components
 from hornbeam.llm.simhash import majority
 from tests.llm.conftest import prose
 
@@ -78,3 +81,33 @@ def test_fingerprint_is_the_majority_of_the_set(spark):
     texts = [prose(random.Random(24), n) for n in (1, 5, 6, 90)]
     got = neardup.signatures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {x["doc"]: x["fp"] for x in got} == {k: int(np.uint64(majority(neardup.shingles(t.encode()))).view(np.int64)) for k, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("by", ["bands", "prints"])
+def test_all_that_share_a_bucket_are_compared(spark, by):
+    r = random.Random(25)
+    rows = []
+    for _ in range(7):
+        text = prose(r, 80)
+        rows += [(len(rows) + k, text + " end" * k) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # one bucket holds them all; else fingerprints are further apart than the radius
+    number = F.col("doc")
+    each = neardup.signatures(docs).withColumns({"bands": F.array(F.lit(1).cast("long")), "fp": F.xxhash64("doc")})
+    if by == "prints":
+        each = each.withColumns({"bands": F.array().cast("array<long>"), "fp": F.when(number < 16, F.expr("shiftleft(1L, cast(doc as int))")).otherwise(number)})
+    found = neardup.links(each, docs, each.select("key", "doc", "hash", "size", "fp") if "size" in each.columns else each.select("key", "doc", "hash", "fp"))
+    of = {x["key"]: x["doc"] for x in each.collect()}
+    group = {}
+    for x in connected_components(found).collect():
+        group.setdefault(x["root"], set()).add(of[x["node"]])
+    assert sorted(map(sorted, group.values())) == [[3 * k, 3 * k + 1, 3 * k + 2] for k in range(7)]
+
+
+def test_apart_is_all_pairs_of_unlike_labels(spark):
+    r = random.Random(26)
+    rows = [(bucket, key, r.choice([1, 1, 1, 2, 3]), r.choice([10, 11, 14])) for bucket in range(20) for key in r.sample(range(99), r.randint(1, 9))]
+    got = [(x["a"], x["b"]) for x in neardup.apart(spark.createDataFrame(rows, "bucket long, key long, label long, size int")).collect()]
+    of = lambda b: [x for x in rows if x[0] == b]
+    want = {(x[1], y[1]) for b in range(20) if len(of(b)) > 2 for x in of(b) for y in of(b) if x[1] < y[1] and x[2] != y[2] and min(x[3], y[3]) >= 0.8 * max(x[3], y[3])}
+    assert len(got) == len(set(got)) and set(got) == want
