@@ -6,13 +6,18 @@ is padded, and pieces of one length share a bucket: they lie together within eac
 ``write_buckets`` writes a folder for each length, so that batches of equal shape are drawn without looking.
 
 Ids are those of a public BPE tokenizer. White space never reaches its vocabulary, so the ids of a text are those of
-its chunks in turn; each worker remembers chunks it has seen and encodes a new one only once.
+its chunks in turn; each worker remembers chunks it has seen and encodes a new one only once. Spark keeps a worker after its
+last task, so one that has nothing to encode for IDLE seconds gives the memory back: other stages need it.
 """
 
 from __future__ import annotations
 
+import ctypes
 import re
+import threading
+import time
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +33,8 @@ END = 2
 LONGEST = 4096
 #: Chunks, bytes of chunks, and ids that a worker remembers, about, before it starts anew.
 REMEMBERED, REMEMBERED_BYTES, REMEMBERED_IDS = 1_200_000, 64 << 20, 16 << 20
+#: Seconds without a text after which a worker forgets them.
+IDLE = 2.0
 #: A chunk of Latin-1's printable characters, without what the tokenizer treats as a whole (contractions, special
 #: tokens); and what such a chunk is cut into: runs of letters, single digits, runs of anything else.
 _PLAIN = re.compile("[!-&(-;=-~¡-ÿ]+")
@@ -50,13 +57,27 @@ class Encoder:
         last = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
         self.ends = np.zeros(max(last) + 1, bool)
         self.ends[last] = True
+        self.lock, self.used, self.watched = threading.Lock(), 0.0, False
         self.forget()
 
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, array] = {}
         self.starts, self.lengths, self.pool, self.bytes = Growing(np.int64), Growing(np.int64), Growing(np.uint32), 0
 
+    def _rest(self) -> None:
+        """Waits until there was no text for IDLE seconds, then forgets and returns the memory to the system."""
+        while True:
+            time.sleep(IDLE / 4)
+            with self.lock:
+                if time.monotonic() - self.used > IDLE:
+                    self.forget()
+                    self.watched = False
+                    break
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
     def _learn(self, chunks: set[bytes]) -> None:
         cut = {}
         for chunk in chunks:
@@ -69,8 +90,8 @@ class Encoder:
             stops = (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1).tolist()
             if len(stops) != len(some):
                 raise ValueError("the vocabulary does not end words as packing expects")
-            self.parts |= {p: ids[a:b] for p, a, b in zip(some, [0, *stops], stops)}
-        starts, sizes, pool, first = [], [], [], self.pool.size
+            self.parts |= {p: array("I", ids[a:b]) for p, a, b in zip(some, [0, *stops], stops)}
+        starts, sizes, pool, first = [], [], array("I"), self.pool.size
         for number, (chunk, parts) in enumerate(cut.items(), self.starts.size):
             self.index[chunk] = number
             self.bytes += len(chunk)
@@ -79,13 +100,23 @@ class Encoder:
                 for p in parts:
                     pool += self.parts[p]
             else:
-                pool += self.tokenizer.encode(parts, add_special_tokens=False).ids
+                pool.extend(self.tokenizer.encode(parts, add_special_tokens=False).ids)
             sizes.append(first + len(pool) - starts[-1])
         for of, new in ((self.starts, starts), (self.lengths, sizes), (self.pool, pool)):
             of.extend(new)
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """The ids of each text; a null text has none."""
+        with self.lock:
+            if not self.watched:
+                self.watched = True
+                threading.Thread(target=self._rest, daemon=True).start()
+            try:
+                return self._encode(texts)
+            finally:
+                self.used = time.monotonic()
+
+    def _encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         if len(self.index) > REMEMBERED or self.bytes > REMEMBERED_BYTES or self.pool.size > REMEMBERED_IDS:
             self.forget()
         # a special token's own string stays as it is written: lower-casing could make one

@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -22,6 +23,18 @@ def test_special_cases():
         assert packing.encoder(PATH).encode([text.encode()])[0].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+def test_an_idle_encoder_forgets(monkeypatch):
+    monkeypatch.setattr(packing, "IDLE", 0.2)
+    code, texts = packing.Encoder(PATH), [b"some words, and others", None, b"words"]
+    for _ in range(2):
+        ids = [x.tolist() for x in code.encode(texts)]
+        assert ids == [TOKENIZER.encode((t or b"").decode(), add_special_tokens=False).ids for t in texts] and code.index and code.parts
+        deadline = time.monotonic() + 10
+        while code.index and time.monotonic() < deadline:
+            time.sleep(0.05)
+        assert not code.index and not code.parts and not code.pool.size
+
+
 def test_pieces(odd, none):
     rows = packing.pack(odd).collect()
     assert len({r["sequence_id"] for r in rows}) == len(rows)
